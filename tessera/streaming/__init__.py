@@ -1 +1 @@
-"""streaming of the library."""
+"""Session memory as a stream."""
