@@ -7,13 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.arrow_text import chunks, codepoints
 from tessera.llm.scratch import table
 
-#: The documents of each language that are learned from, those of the smallest hashes; languages at most.
+#: Documents of each language that are learned from, on average over hashes; languages at most.
 TRAIN_DOCS, MOST_LANGUAGES = 1500, 256
 BUCKETS = 1 << 15
 SMOOTH = 0.05
@@ -122,14 +122,18 @@ def counts_of(docs: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
-    """Learns from at most train_docs documents of each lang, whole, those of the smallest hashes of doc_id.
-    The counts that come to the driver are bounded by buckets x languages; over 256 languages are an error."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))
-    keys = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("order"))
-    got = counts_of(keys.withColumn("rank", rank).where(F.col("rank") <= train_docs)).toPandas()
+    """Learns from some train_docs documents of each lang, whole: those whose hash of doc_id is in the share that gives
+    so many, so that no text is shuffled. The counts that come to the driver are bounded by buckets x languages; over 256 languages are an error."""
+    rows = docs.where("lang is not null and text is not null")
+    sizes = rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages; no more can be learned")
+    share = F.lit(0.0)
+    for lang, n in sizes:
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, train_docs / n))).otherwise(share)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    got = counts_of(rows.where(place < share)).toPandas()
     names = sorted(got["lang"].unique())
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"{len(names)} languages; at most {MOST_LANGUAGES} can be learned")
     if not names:
         return None
     tables = [np.zeros((BUCKETS, len(names))), np.zeros((256, len(names)))]
