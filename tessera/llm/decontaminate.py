@@ -17,6 +17,10 @@ from tessera.llm.scratch import table
 Q = 10
 #: Edits that a passage may have, as a share of the item's normalised characters.
 EDITS = 0.06
+#: Normalised characters beyond which an item is matched in parts of equal length.
+PART_CHARS = 1000
+#: Pairs of hits and offsets that are counted at once.
+BLOCK = 1 << 22
 #: Normalised characters of the benchmark that one index may hold; a larger benchmark is indexed in several.
 INDEX_CHARS = 4_000_000
 SPACE, BETWEEN = 32, 0x110000
@@ -91,17 +95,18 @@ class Index:
 
 
 def build(rows: list[tuple[int, str]], q: int = Q, share: float = EDITS) -> Index:
-    """Items of fewer than q normalised characters take no part. An item of m characters that occurs with k edits keeps
+    """Items of fewer than q normalised characters take no part; one of over PART_CHARS is matched in parts. An item of m characters that occurs with k edits keeps
     at least m + 1 - q (k + 1) of its q-grams; k is share x m, less where that bound would be below 1."""
-    ids, items, edits, least, hs, owner, place = [], [], [], [], [], [], []
+    ids, items, edits, least, hs, owner, place, cut = [], [], [], [], [], [], [], []
     for item_id, text in rows:
         a = np.frombuffer((text or "").encode("utf-32-le"), np.uint32)
         a = normalise(a, np.array([0, len(a)]))[0] if len(a) else a
         a = a[1:]
         a = a[(a != SPACE).argmax() :] if (a != SPACE).any() else a[:0]
         a = a[: len(a) - int(a[-1] == SPACE)] if len(a) else a
-        if len(a) < q:
-            continue
+        parts = {p.tobytes(): p for p in np.array_split(a, max(1, -(-len(a) // PART_CHARS)))} if len(a) >= q else {}
+        cut += [(item_id, p) for p in parts.values()]
+    for item_id, a in cut:
         k = min(int(share * len(a)), len(a) // q - 1)
         h = grams(a, q)
         ids.append(item_id)
@@ -133,18 +138,28 @@ def bands(text: np.ndarray, index: Index, q: int = Q) -> list[tuple[int, int]]:
     same = index.grams[at] == h[hit]
     hit, at = hit[same], at[same]
     n = index.first[at + 1] - index.first[at]
-    slot = np.repeat(index.first[at] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-    item, diagonal = index.item[slot], np.repeat(hit, n) - index.offset[slot]
-    width = index.edits[item] + 1
-    out = set()
+    total = np.append(0, np.cumsum(n))
     shift = int(max((len(x) for x in index.items), default=0)) + 1
-    for half in (0, 1):
-        band = (diagonal + shift + half * width) // (2 * width)
-        key, count = np.unique(item << 44 | band, return_counts=True)
-        for x in key[count >= index.least[key >> 44]].tolist():
-            i, b = x >> 44, x & ((1 << 44) - 1)
-            w = int(index.edits[i]) + 1
-            out.add((i, b * 2 * w - half * w - shift))
+    keys, counts, lo = [], [], 0
+    while lo < len(hit):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + BLOCK, "right")) - 1)
+        m = n[lo:hi]
+        slot = np.repeat(index.first[at[lo:hi]] - (total[lo:hi] - total[lo]), m) + np.arange(m.sum())
+        item, diagonal = index.item[slot], np.repeat(hit[lo:hi], m) - index.offset[slot]
+        width = index.edits[item] + 1
+        for half in (0, 1):
+            band = (diagonal + shift + half * width) // (2 * width)
+            key, count = np.unique((item << 1 | half) << 43 | band, return_counts=True)
+            keys.append(key)
+            counts.append(count)
+        lo = hi
+    key, which = np.unique(np.concatenate(keys), return_inverse=True)
+    count = np.bincount(which, np.concatenate(counts))
+    out = set()
+    for x in key[count >= index.least[key >> 44]].tolist():
+        i, half, b = x >> 44, x >> 43 & 1, x & ((1 << 43) - 1)
+        w = int(index.edits[i]) + 1
+        out.add((i, b * 2 * w - half * w - shift))
     return sorted(out)
 
 
@@ -211,7 +226,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: float =
     """doc_id, item_id, start, end, edits: where benchmark items occur in documents with at most share x length edits.
 
     Both are normalised to lower-case letters and digits with single spaces between; start and end are code points of the
-    text as it is. An item of fewer than q normalised characters takes no part. Null and empty texts match nothing.
+    text as it is. An item of fewer than q normalised characters takes no part; one of over PART_CHARS occurs where
+    one of its parts does. Null and empty texts match nothing.
     Rows of repeated documents and repeated items each give their rows; a doc_id may be null; other columns are not read; no
     rows: no rows. Documents are not shuffled; an index of the benchmark has a bounded size and is broadcast,
     and a benchmark beyond it takes a pass over the documents for each index.
