@@ -26,7 +26,7 @@ def with_score(summary: DataFrame) -> DataFrame:
 
 
 def brier_logloss_auc(rows: DataFrame) -> DataFrame:
-    """rows: p, y. One row: accuracy, log_loss, brier, roc_auc (ties count half), positive_rate. Ranks come from counts of
+    """rows: p, y. One row: accuracy, log_loss, brier, roc_auc (ties count half; null for one class), positive_rate. Ranks come from counts of
     distinct scores, so no single task sorts the rows."""
     p = F.least(F.greatest(F.col("p"), F.lit(1e-15)), F.lit(1 - 1e-15))
     y = F.col("y").cast("double")
@@ -37,5 +37,5 @@ def brier_logloss_auc(rows: DataFrame) -> DataFrame:
     )
     by = rows.groupBy("p").agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
     below = F.coalesce(F.sum("neg").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    auc = by.withColumn("below", below).agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    auc = by.withColumn("below", below).agg(F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"))
     return base.join(F.broadcast(auc.select(F.round("auc", 6).alias("roc_auc"))))
