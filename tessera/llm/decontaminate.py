@@ -137,6 +137,8 @@ def bands(text: np.ndarray, index: Index, q: int = Q) -> list[tuple[int, int]]:
     at = np.minimum(np.searchsorted(index.grams, h[hit]), len(index.grams) - 1)
     same = index.grams[at] == h[hit]
     hit, at = hit[same], at[same]
+    if not len(hit):
+        return []
     n = index.first[at + 1] - index.first[at]
     total = np.append(0, np.cumsum(n))
     shift = int(max((len(x) for x in index.items), default=0)) + 1
