@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import vocabulary as V
-from tessera.operators import sessions, synthesis
+from tessera.operators import metrics, models, sessions, simulate, synthesis
 from tessera.plans.fixtures import MESSAGES, OUTCOMES, PRODUCTS, Fixture
 from tessera.plans.text_queries import CLAUSE_ROWS, COARSE, EXTRACT, MARKS, USEFUL, fraction, last_two, pairs_sql, product_sql, q, squeeze_sql, words
 
@@ -117,3 +117,38 @@ def first_hit(s, d):
 
 add("first_hit", first_hit, "WITH t AS (SELECT user_id AS sample, event_id AS turn, CASE WHEN event_type = 'purchase' THEN CAST(CAST(floor(abs(value)) AS BIGINT) % 20 + 1 AS INTEGER) END AS rank, event_id >= 50 AS active FROM events) SELECT sample, min(turn) FILTER (active AND rank <= 10) AS hit_turn, arg_min(rank, turn) FILTER (active AND rank <= 10) AS best_rank FROM t GROUP BY sample")
 add("grouped_folds", lambda s, d: synthesis.even_folds(read(s, d, "part").select(c("p_partkey").alias("sample"), c("p_type").alias("scenario"), c("p_size").alias("difficulty"))), "SELECT p_partkey AS sample, CAST((row_number() OVER (ORDER BY p_type, p_size, md5('2026:' || p_partkey)) - 1) % 5 AS INTEGER) AS fold FROM part")
+
+
+def outcomes(s, d):
+    """Sessions of the literal products in all scenarios, simulated. State is cut by checkpoint() in the cluster's folder."""
+    hard, soft = synthesis.intent_card()
+    catalog = PRODUCTS.spark(s).select("id", "title", F.array_join("categories", " ").alias("categories"), F.array_join("features", " ").alias("features"), F.array_join(T.pairs(c("details")), " ").alias("details"), "store", "description")
+    rows = PRODUCTS.spark(s).withColumns({"hard": hard, "soft": soft, "scenario": F.explode(F.array(*[F.lit(x) for x in SCENARIOS]))})
+    category = T.coarse_category(F.coalesce("categories", F.array().cast("array<string>")))
+    over = c("scenario") == "intent_override"
+    new = F.get("hard", F.lit(0))
+    sample = rows.select(
+        F.concat_ws("-", "id", "scenario").alias("session"), "scenario", c("id").alias("target"), synthesis.opening_message(c("scenario"), category, c("hard"), c("soft")).alias("message"), F.concat("hard", "soft").alias("constraints"),
+        F.when(over, F.lit(3) + (T.hash_fraction(c("id")) >= 0.5).cast("int")).alias("override_turn"), F.when(over, new).alias("new_value"),
+        F.when(over, F.concat(F.lit("Actually, ignore my earlier preference. What I need is: "), new, F.lit("."))).alias("override_message"),
+    )
+    if s.conf.get("spark.checkpoint.dir", None) is None and s.sparkContext.getCheckpointDir() is None:
+        import tempfile
+
+        if not s.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+    return simulate.evaluate(sample, catalog, lambda df: df.checkpoint())
+
+
+add("simulate_sessions", outcomes)
+add("evaluate_agent", lambda s, d: metrics.with_score(outcomes(s, d).groupBy("scenario").agg(*metrics.session_metrics())))
+
+
+def router_modes(s, d):
+    """A router fitted on the literal sessions, applied to them; labels as the training data has them."""
+    rows = sessions.prefixes(MESSAGES.spark(s).withColumn("scenario", F.when(c("session") < "m3", "buying").when(c("session") < "m4", "browsing").when(c("session") == "m4", "intent_override").otherwise("boundary")))
+    return models.route(models.fit_router(rows), rows).select("session", "turn", "label", "model_mode", "model_p")
+
+
+add("router_modes", router_modes)
