@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions import vocabulary as V
 
-TURN = Window.partitionBy("session").orderBy("turn")
+
+def by_turn():
+    return Window.partitionBy("session").orderBy("turn")
 
 
 def memory_events(turns: DataFrame) -> DataFrame:
@@ -54,7 +56,7 @@ def evidence(turns: DataFrame) -> DataFrame:
     mode = T.rule_mode(F.col("text"))
     override, refuse = F.coalesce(mode == "intent_override", F.lit(False)), F.col("text").rlike(f"(?i){V.NO_PREFERENCE}")
     rows = turns.select("session", "turn", "asked", "text", override.alias("override"), refuse.alias("refuse"))
-    rows = rows.withColumn("epoch", F.sum(F.col("override").cast("int")).over(TURN)).withColumn("last", F.max("epoch").over(Window.partitionBy("session"))).where("epoch = last")
+    rows = rows.withColumn("epoch", F.sum(F.col("override").cast("int")).over(by_turn())).withColumn("last", F.max("epoch").over(Window.partitionBy("session"))).where("epoch = last")
     asked = F.when(~F.col("override"), F.col("asked"))
     none = F.array().cast("array<string>")
     marks = F.when(F.col("refuse"), none).otherwise(F.concat(T.mark_attributes(F.col("text")), F.when(asked.isNotNull(), F.array(asked)).otherwise(none)))
@@ -69,16 +71,16 @@ def evidence(turns: DataFrame) -> DataFrame:
 def sticky_mode(turns: DataFrame, least: float = 0.55) -> DataFrame:
     """turns with model_mode and model_p; mode: by wording, else the model's; below `least` the mode before stays, if any."""
     sure = F.coalesce(T.rule_mode(F.col("text")), F.when(F.col("model_p") >= least, F.col("model_mode")))
-    held = F.last("sure", True).over(TURN)
-    first = F.first("model_mode").over(TURN)
+    held = F.last("sure", True).over(by_turn())
+    first = F.first("model_mode").over(by_turn())
     return turns.withColumn("sure", sure).withColumn("mode", F.coalesce(held, first)).drop("sure")
 
 
 def paging(turns: DataFrame) -> DataFrame:
     """turns: session, turn, signature. page: 0 at a new signature, one more for each repeat; a first turn that is empty
     repeats the empty query that a session begins with."""
-    before = F.lag("signature", 1, "").over(TURN)
-    run = F.sum((F.col("signature") != before).cast("int")).over(TURN)
+    before = F.lag("signature", 1, "").over(by_turn())
+    run = F.sum((F.col("signature") != before).cast("int")).over(by_turn())
     rows = turns.withColumn("run", run)
     nth = F.row_number().over(Window.partitionBy("session", "run").orderBy("turn"))
     return rows.withColumn("page", F.when(F.col("run") == 0, nth).otherwise(nth - 1)).drop("run")
@@ -86,11 +88,11 @@ def paging(turns: DataFrame) -> DataFrame:
 
 def prefixes(turns: DataFrame) -> DataFrame:
     """turns: session, turn, scenario, text. The text so far and its label, for training the router."""
-    so_far = F.array_join(F.collect_list("text").over(TURN.rowsBetween(Window.unboundedPreceding, 0)), " ")
-    nth = F.row_number().over(TURN)
+    so_far = F.array_join(F.collect_list("text").over(by_turn().rowsBetween(Window.unboundedPreceding, 0)), " ")
+    nth = F.row_number().over(by_turn())
     late = F.col("scenario").isin("intent_override", "boundary")
     return turns.select("session", "turn", so_far.alias("prefix"), F.when(late & (nth == 1), "browsing").otherwise(F.col("scenario")).alias("label"))
 
 
 def last_messages(turns: DataFrame) -> DataFrame:
-    return turns.select("session", "turn", F.array_join(F.collect_list("text").over(TURN.rowsBetween(-2, 0)), " ").alias("context"))
+    return turns.select("session", "turn", F.array_join(F.collect_list("text").over(by_turn().rowsBetween(-2, 0)), " ").alias("context"))

@@ -33,9 +33,9 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     run = stream_memory(stream).writeStream.format("memory").queryName("memory").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
     run.awaitTermination()
-    seen = spark.table("memory")
-    last = seen.groupBy("session").agg(F.max("turn").alias("turn"))
-    got = {tuple(r) for r in seen.join(last, ["session", "turn"]).select("session", "slot", "value", "required").collect()}
+    seen = spark.table("memory").collect()
+    last = {r.session: max(x.turn for x in seen if x.session == r.session) for r in seen}
+    got = {(r.session, r.slot, r.value, r.required) for r in seen if r.turn == last[r.session]}
     assert got == {tuple(r) for r in sessions.session_memory(rows).collect()}
 
 
