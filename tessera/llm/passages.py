@@ -47,9 +47,15 @@ def places(h: np.ndarray, row: np.ndarray) -> np.ndarray:
     return at[row[at] == row[at + UNIT - 1]]
 
 
+def _finished(whole: np.ndarray) -> np.ndarray:
+    """Hashes of paragraphs from the sums of their words' hashes by _POWERS."""
+    whole = (whole ^ (whole >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return whole ^ (whole >> np.uint64(29))
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, hash, signature): place counts words; the signature has a letter for each of the 16 words. Of equal
-    paragraphs of a document, the first."""
+    """(doc_id, place, hash, signature, again): place counts words; the signature has a letter for each of the 16 words. Of
+    equal paragraphs of a document, the first; again tells that it has more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -60,22 +66,21 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                 if not len(at):
                     continue
                 own = h[at[:, None] + np.arange(UNIT)]
-                whole = (own * _POWERS).sum(axis=1, dtype=np.uint64)
-                whole ^= whole >> np.uint64(31)
-                whole *= np.uint64(0xBF58476D1CE4E5B9)
-                whole ^= whole >> np.uint64(29)
+                whole = _finished((own * _POWERS).sum(axis=1, dtype=np.uint64))
                 order = np.lexsort((at, whole, row[at]))
                 same = np.zeros(len(at), bool)
                 same[1:] = (whole[order][1:] == whole[order][:-1]) & (row[at][order][1:] == row[at][order][:-1])
+                more = np.zeros(len(at), bool)
+                more[order[:-1]] = same[1:]
                 keep = np.sort(order[~same])
                 at, own, whole = at[keep], own[keep], whole[keep]
                 letters = LETTERS[(own >> np.uint64(58)).astype(np.int64)]
                 first = np.searchsorted(row, row[at])
                 text = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer((np.arange(len(at) + 1) * UNIT).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(letters))])
                 ids = b.column(0).take(pa.array(lo + row[at]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array((at - first).astype(np.int32)), pa.array(whole.view(np.int64)), text], ["doc_id", "place", "hash", "signature"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array((at - first).astype(np.int32)), pa.array(whole.view(np.int64)), text, pa.array(more[keep])], ["doc_id", "place", "hash", "signature", "again"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, place int, hash long, signature string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, place int, hash long, signature string, again boolean")
 
 
 def near_links(classes: DataFrame) -> DataFrame:
@@ -142,6 +147,65 @@ def extensions(ends: DataFrame, around: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, run long, left boolean, words int")
 
 
+def windows(docs: DataFrame, asked: DataFrame, least: int) -> DataFrame:
+    """(doc_id, start, window, class_id): the runs of `least` words that hold an asked paragraph (doc_id, hash), wherever it
+    stands in the document; window is a hash of the words, class_id that of the run's first asked paragraph."""
+    open_ = asked.groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
+    text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(open_, "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = b.column(2).to_pylist()
+            for lo, hi, data, offsets in chunks(b.column(1)):
+                starts, ends, row = words(data, offsets)
+                h = word_hashes(data, starts, ends)
+                first = np.searchsorted(row, np.arange(hi - lo + 1))
+                for k in range(hi - lo):
+                    own = h[first[k] : first[k + 1]]
+                    if len(own) < least:
+                        continue
+                    size = len(own) - UNIT + 1
+                    whole = np.zeros(size, np.uint64)
+                    for j in range(UNIT):
+                        whole += own[j : j + size] * _POWERS[j]
+                    whole = _finished(whole).view(np.int64)
+                    marks = np.flatnonzero(np.isin(whole, np.array(hashes[lo + k], np.int64)))
+                    at = np.arange(len(own) - least + 1)
+                    nth = np.searchsorted(marks, at)
+                    held = nth < len(marks)
+                    held[held] = marks[nth[held]] + UNIT <= at[held] + least
+                    at, nth = at[held], nth[held]
+                    if len(at):
+                        ids = pa.array([b.column(0)[lo + k].as_py()] * len(at), pa.int64())
+                        yield pa.RecordBatch.from_arrays([ids, pa.array(at, pa.int32()), pa.array(gram_hashes(own, least)[at].view(np.int64)), pa.array(whole[marks[nth]])], ["doc_id", "start", "window", "class_id"])
+
+    return text.mapInArrow(run, "doc_id long, start int, window long, class_id long")
+
+
+def later_passages(docs: DataFrame, seen: DataFrame, found: DataFrame, least: int) -> tuple[DataFrame, list[str]]:
+    """Passages that `found` lacks because the document that they repeat isn't the first to hold their paragraphs, or
+    holds them at several places; and the paths of tables that they come from.
+
+    seen: doc_id, place, hash, again, kept_doc_id of all paragraphs of groups. A hash is open if some document has it twice, or
+    has a run of `least` words with it that may reach out of the passages found. Every run of `least` words around an open paragraph is hashed, in all documents that hold it, and the
+    smallest doc_id of each hash is aggregated before the shuffle; equal runs are thus found whatever their number.
+    """
+    spans = found.select(F.col("doc_id").alias("span_doc"), "word_start", "word_end")
+    inside = lambda low, high: (F.col("doc_id") == F.col("span_doc")) & (low >= F.col("word_start")) & (high <= F.col("word_end"))
+    around = inside(F.greatest(F.col("place") + UNIT - least, F.lit(0)), F.col("place") + least) & ~F.col("again")
+    loose = seen.where("kept_doc_id <> doc_id").join(spans, around, "left_anti")
+    asked, asked_path = saved(seen.select("doc_id", "hash").join(loose.select("hash").distinct(), "hash", "left_semi"), "open")
+    runs, runs_path = saved(windows(docs, asked, least), "windows")
+    first = runs.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last")
+    hits = runs.join(first, "window").where(F.col("doc_id") != F.col("first.doc_id")).select("doc_id", "start", "class_id", F.col("first.doc_id").alias("kept_doc_id")).distinct()
+    hits = hits.join(spans, inside(F.col("start"), F.col("start") + least), "left_anti")
+    line = Window.partitionBy("doc_id", "kept_doc_id").orderBy("start")
+    new = F.coalesce(F.col("start") - F.lag("start").over(line) > 1, F.lit(True)).cast("int")
+    marked = hits.withColumn("new", new).withColumn("nth", F.sum("new").over(line))
+    joined = marked.groupBy("doc_id", "kept_doc_id", "nth").agg(F.min("start").alias("word_start"), (F.max("start") + least).alias("word_end"), F.min_by("class_id", "start").alias("class_id"))
+    return joined.select("doc_id", "word_start", "word_end", "kept_doc_id", "class_id"), [asked_path, runs_path]
+
+
 def repeated_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, word_start, word_end, kept_doc_id, class_id: the passages that repeat one of a document of smaller doc_id, and
     so may go; words are counted from 0 and end at ASCII white space, and A-Z counts as a-z.
@@ -150,7 +214,9 @@ def repeated_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
     the edits, and components. A group's first paragraph (smallest doc_id, then place) is kept, with its
     document's others; class_id names the group. Paragraphs in a row on one diagonal of a pair of documents are a run, which
     grows on both sides as far as the words agree, and is a passage if it has `least` words or more (50 at least, below
-    which the paragraphs guarantee nothing).
+    which the paragraphs guarantee nothing). Runs of `least` equal words that this misses, as their paragraphs come first in
+    another document or at another place, are found by hashes of the whole run: every such run of an earlier document is
+    covered, but for collisions of hashes.
 
     Repeats within a document aren't passages. Rows that repeat a doc_id are one document; rows without doc_id, and
     null, empty or short texts, take no part. Other columns are not read; no rows: no rows.
@@ -176,8 +242,12 @@ def repeated_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
     members = linked.join(in_links, "hash", "left_semi").select("hash", "class_id", "first", "last")
     whole = members.groupBy("class_id").agg(F.min("first").alias("kept"), F.max("last").alias("last")).where(F.col("kept.doc_id") != F.col("last"))
     repeated = alone.union(members.select("hash", "class_id").join(whole.select("class_id", "kept"), "class_id").select("hash", "class_id", "kept"))
-    found = units.select("doc_id", "place", "hash").join(repeated, "hash").where(F.col("first.doc_id") != F.col("doc_id"))
-    found = found.select("doc_id", "place", "class_id", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.place").alias("kept_place"))
+    seen = units.select("doc_id", "place", "hash", "again").join(repeated, "hash")
+    seen, seen_path = saved(seen.select("doc_id", "place", "hash", "again", "class_id", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.place").alias("kept_place")), "seen")
+    for path in (units_path, classes_path, links_path):
+        drop_path(spark, path)
+    release(spark)
+    found = seen.where("kept_doc_id <> doc_id")
     line = Window.partitionBy("doc_id", "kept_doc_id", F.col("place") - F.col("kept_place")).orderBy("place")
     new = F.coalesce(F.col("place") - F.lag("place").over(line) > WINDOW, F.lit(True)).cast("int")
     marked = found.withColumn("new", new).withColumn("nth", F.sum("new").over(line))
@@ -185,17 +255,24 @@ def repeated_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
     runs = marked.groupBy("doc_id", "kept_doc_id", (F.col("place") - F.col("kept_place")).alias("diagonal"), "nth").agg(F.min(low).alias("low"), F.max(high).alias("high"))
     runs = runs.withColumn("run", F.xxhash64("kept_doc_id", "diagonal", "nth"))
     runs, runs_path = saved(runs.drop("nth"), "runs")
-    for path in (units_path, classes_path, links_path):
-        drop_path(spark, path)
     release(spark)
     side = lambda s, left: runs.select("doc_id", "run", F.col(f"{s}.place").alias("place"), "kept_doc_id", F.col(f"{s}.kept_place").alias("kept_place"), F.lit(left).alias("left"))
     ends = side("low", True).union(side("high", False))
     wanted = ends.select("doc_id", "place").union(ends.select("kept_doc_id", "kept_place"))
-    around, _ = saved(contexts(rows, wanted), "contexts")
+    around, around_path = saved(contexts(rows, wanted), "contexts")
     release(spark)
     more = extensions(ends, around).groupBy("doc_id", "run").agg(F.max(F.when(F.col("left"), F.col("words"))).alias("lead"), F.max(F.when(~F.col("left"), F.col("words"))).alias("trail"))
     out = runs.join(more, ["doc_id", "run"]).select("doc_id", (F.col("low.place") - F.col("lead")).alias("word_start"), (F.col("high.place") + UNIT + F.col("trail")).alias("word_end"), "kept_doc_id", F.col("low.class_id").alias("class_id"))
-    return out.where(F.col("word_end") - F.col("word_start") >= least)
+    out, _ = saved(out.where(F.col("word_end") - F.col("word_start") >= least), "passages")
+    for path in (runs_path, around_path):
+        drop_path(spark, path)
+    release(spark)
+    later, paths = later_passages(rows, seen, out, least)
+    later, _ = saved(later, "later")
+    for path in (seen_path, *paths):
+        drop_path(spark, path)
+    release(spark)
+    return out.union(later)
 
 
 def _cut(text: str, spans: list[tuple[int, int]]) -> str:

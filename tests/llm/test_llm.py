@@ -147,6 +147,30 @@ def test_passages(spark):
     assert left == {k: t for k, t in rows if k not in (2, 3)} | {2: f"{other('c')}\n{other('d')}"}
 
 
+def test_passages_whose_paragraphs_come_first_elsewhere(spark):
+    shared = [f"p{k}q" for k in range(60)]
+    other = lambda n: [f"{n}z{k}" for k in range(40)]
+    rows = [(1, shared[:35] + other("a") + shared[25:]), (2, other("b") + shared), (3, shared + other("c")), (4, ["no"] * 30 + other("d")), (5, ["no"] * 70), (6, ["no"] * 30 + other("e") + ["no"] * 60)]
+    spans = passages.repeated_passages(documents(spark, [(k, " ".join(w)) for k, w in rows])).collect()
+    assert {(r.doc_id, r.word_start, r.word_end, r.kept_doc_id) for r in spans} == {(3, 0, 60, 2), (6, 70, 130, 5)}
+
+
+def test_passages_by_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()
+    covered = {}
+    for r in queries.QUERIES["op3_passages"](spark, sf_dir).collect():
+        covered.setdefault(r.doc_id, set()).update(range(r.word_start, r.word_end))
+    earlier, repeats = set(), 0
+    for r in docs:
+        w = r.text.encode().lower().split()
+        own = {k: tuple(w[k : k + 50]) for k in range(len(w) - 49)}
+        for k in (k for k, run in own.items() if run in earlier):
+            repeats += 1
+            assert covered[r.doc_id].issuperset(range(k, k + 50))
+        earlier.update(own.values())
+    assert repeats
+
+
 def test_near_copies_at_jaccard(spark):
     edited = WORDS[:300]
     edited[150] = "other"
