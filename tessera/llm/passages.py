@@ -28,6 +28,8 @@ BANDS, ROWS = 2, 2
 EDITS = 3
 #: Words on either side of a paragraph that are compared to find where a passage ends.
 REACH = 36
+#: Words after a paragraph are counted up to here; a count of this much stands for any more.
+REST = 255
 LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", np.uint8)
 NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 _POWERS = np.multiply.accumulate(np.full(UNIT, 0x9E3779B97F4A7C15, np.uint64))
@@ -54,8 +56,8 @@ def _finished(whole: np.ndarray) -> np.ndarray:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, hash, signature, again): place counts words; the signature has a letter for each of the 16 words. Of
-    equal paragraphs of a document, the first; again tells that it has more."""
+    """(doc_id, place, hash, signature, again, rest): place counts words; the signature has a letter for each of the 16 words. Of
+    equal paragraphs of a document, the first; again tells that it has more. rest: words after the paragraph, REST at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -76,11 +78,12 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                 at, own, whole = at[keep], own[keep], whole[keep]
                 letters = LETTERS[(own >> np.uint64(58)).astype(np.int64)]
                 first = np.searchsorted(row, row[at])
+                rest = np.minimum(np.searchsorted(row, row[at], "right") - at - UNIT, REST).astype(np.int32)
                 text = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer((np.arange(len(at) + 1) * UNIT).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(letters))])
                 ids = b.column(0).take(pa.array(lo + row[at]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array((at - first).astype(np.int32)), pa.array(whole.view(np.int64)), text, pa.array(more[keep])], ["doc_id", "place", "hash", "signature", "again"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array((at - first).astype(np.int32)), pa.array(whole.view(np.int64)), text, pa.array(more[keep]), pa.array(rest)], ["doc_id", "place", "hash", "signature", "again", "rest"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, place int, hash long, signature string, again boolean")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, place int, hash long, signature string, again boolean, rest int")
 
 
 def near_links(classes: DataFrame) -> DataFrame:
@@ -186,13 +189,14 @@ def later_passages(docs: DataFrame, seen: DataFrame, found: DataFrame, least: in
     """Passages that `found` lacks because the document that they repeat isn't the first to hold their paragraphs, or
     holds them at several places; and the paths of tables that they come from.
 
-    seen: doc_id, place, hash, again, kept_doc_id of all paragraphs of groups. A hash is open if some document has it twice, or
+    seen: doc_id, place, hash, again, rest, kept_doc_id of all paragraphs of groups. A hash is open if some document has it twice, or
     has a run of `least` words with it that may reach out of the passages found. Every run of `least` words around an open paragraph is hashed, in all documents that hold it, and the
     smallest doc_id of each hash is aggregated before the shuffle; equal runs are thus found whatever their number.
     """
     spans = found.select(F.col("doc_id").alias("span_doc"), "word_start", "word_end")
     inside = lambda low, high: (F.col("doc_id") == F.col("span_doc")) & (low >= F.col("word_start")) & (high <= F.col("word_end"))
-    around = inside(F.greatest(F.col("place") + UNIT - least, F.lit(0)), F.col("place") + least) & ~F.col("again")
+    after = F.when(F.col("rest") < REST, F.least("rest", F.lit(least - UNIT))).otherwise(least - UNIT)
+    around = inside(F.greatest(F.col("place") + UNIT - least, F.lit(0)), F.col("place") + UNIT + after) & ~F.col("again")
     loose = seen.where("kept_doc_id <> doc_id").join(spans, around, "left_anti")
     asked, asked_path = saved(seen.select("doc_id", "hash").join(loose.select("hash").distinct(), "hash", "left_semi"), "open")
     runs, runs_path = saved(windows(docs, asked, least), "windows")
@@ -242,8 +246,8 @@ def repeated_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
     members = linked.join(in_links, "hash", "left_semi").select("hash", "class_id", "first", "last")
     whole = members.groupBy("class_id").agg(F.min("first").alias("kept"), F.max("last").alias("last")).where(F.col("kept.doc_id") != F.col("last"))
     repeated = alone.union(members.select("hash", "class_id").join(whole.select("class_id", "kept"), "class_id").select("hash", "class_id", "kept"))
-    seen = units.select("doc_id", "place", "hash", "again").join(repeated, "hash")
-    seen, seen_path = saved(seen.select("doc_id", "place", "hash", "again", "class_id", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.place").alias("kept_place")), "seen")
+    seen = units.select("doc_id", "place", "hash", "again", "rest").join(repeated, "hash")
+    seen, seen_path = saved(seen.select("doc_id", "place", "hash", "again", "rest", "class_id", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.place").alias("kept_place")), "seen")
     for path in (units_path, classes_path, links_path):
         drop_path(spark, path)
     release(spark)
