@@ -210,6 +210,16 @@ def later_passages(docs: DataFrame, seen: DataFrame, found: DataFrame, least: in
     return joined.select("doc_id", "word_start", "word_end", "kept_doc_id", "class_id"), [asked_path, runs_path]
 
 
+def merged(spans: DataFrame) -> DataFrame:
+    """spans, with those of a document that overlap and repeat the same document made one; its class is that of the first."""
+    line = Window.partitionBy("doc_id", "kept_doc_id").orderBy("word_start", "word_end", "class_id")
+    before = F.max("word_end").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce(F.col("word_start") >= before, F.lit(True)).cast("int")
+    marked = spans.withColumn("new", new).withColumn("nth", F.sum("new").over(line))
+    one = marked.groupBy("doc_id", "kept_doc_id", "nth").agg(F.min("word_start").alias("word_start"), F.max("word_end").alias("word_end"), F.min(F.struct("word_start", "word_end", "class_id")).alias("first"))
+    return one.select("doc_id", "word_start", "word_end", "kept_doc_id", F.col("first.class_id").alias("class_id"))
+
+
 def repeated_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, word_start, word_end, kept_doc_id, class_id: the passages that repeat one of a document of smaller doc_id, and
     so may go; words are counted from 0 and end at ASCII white space, and A-Z counts as a-z.
@@ -276,7 +286,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
     for path in (seen_path, *paths):
         drop_path(spark, path)
     release(spark)
-    return out.union(later)
+    return merged(out.union(later))
 
 
 def _cut(text: str, spans: list[tuple[int, int]]) -> str:
