@@ -19,8 +19,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Self loops, repeated edges and edges with a null end are ignored; an empty table gives no rows. Each
     round aggregates before it shuffles (a minimum for each node) and joins that minimum back, so a node
-    with very many neighbours is no single task's group: the join's hot side can be split by AQE. Rounds
-    are written to the shared folder; only two numbers for each round come to the driver.
+    with very many neighbours is no single task's group. The minima are written and read again before the join: AQE
+    splits its hot side only where both sides are dealt out for the join. Tables go to the shared folder; only two
+    numbers for each round come to the driver.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e, path = saved(e, "components")
@@ -31,11 +32,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         mark = now
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select(F.col("v"), F.col("u")))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        root = large.groupBy("u").agg(F.min("v").alias("m"))
+        least, least_path = saved(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "least")
+        large, large_path = saved(both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        root, root_path = saved(large.groupBy("u").agg(F.min("v").alias("m")), "root")
         rest = large.join(root, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new, new_path = saved(rest.union(root.select("u", F.col("m").alias("v"))).distinct(), "components")
+        for used in (least_path, large_path, root_path):
+            drop_path(spark, used)
         drop_path(spark, path)
         e, path, now = new, new_path, _mark(new)
     else:
