@@ -201,13 +201,15 @@ def later_passages(docs: DataFrame, seen: DataFrame, found: DataFrame, least: in
     asked, asked_path = saved(seen.select("doc_id", "hash").join(loose.select("hash").distinct(), "hash", "left_semi"), "open")
     runs, runs_path = saved(windows(docs, asked, least), "windows")
     first = runs.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last")
+    # read again, as AQE splits a hot window's rows only where both sides of the join are dealt out for it
+    first, first_path = saved(first, "first")
     hits = runs.join(first, "window").where(F.col("doc_id") != F.col("first.doc_id")).select("doc_id", "start", "class_id", F.col("first.doc_id").alias("kept_doc_id")).distinct()
     hits = hits.join(spans, inside(F.col("start"), F.col("start") + least), "left_anti")
     line = Window.partitionBy("doc_id", "kept_doc_id").orderBy("start")
     new = F.coalesce(F.col("start") - F.lag("start").over(line) > 1, F.lit(True)).cast("int")
     marked = hits.withColumn("new", new).withColumn("nth", F.sum("new").over(line))
     joined = marked.groupBy("doc_id", "kept_doc_id", "nth").agg(F.min("start").alias("word_start"), (F.max("start") + least).alias("word_end"), F.min_by("class_id", "start").alias("class_id"))
-    return joined.select("doc_id", "word_start", "word_end", "kept_doc_id", "class_id"), [asked_path, runs_path]
+    return joined.select("doc_id", "word_start", "word_end", "kept_doc_id", "class_id"), [asked_path, runs_path, first_path]
 
 
 def merged(spans: DataFrame) -> DataFrame:
