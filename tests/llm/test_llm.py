@@ -178,6 +178,54 @@ def test_near_copies_at_jaccard(spark):
     assert {r.doc_id for r in near_copies.one_of_each(documents(spark, rows)).collect()} == {1, 3, 4}
 
 
+def brute_groups(texts, least=0.8):
+    """The first text of each text's group, of all pairs at this Jaccard similarity."""
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    group = list(range(len(sets)))
+
+    def top(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    for x in range(len(sets)):
+        for y in range(x):
+            both = len(sets[x] & sets[y])
+            if both >= least * (len(sets[x]) + len(sets[y]) - both):
+                one, two = sorted((top(x), top(y)))
+                group[two] = one
+    return [top(k) for k in range(len(sets))]
+
+
+def grouped(spark, texts):
+    """The first text of each text's group, as the operator has it."""
+    got = near_copies.copy_groups(documents(spark, list(enumerate(texts)))).collect()
+    first = {}
+    for r in sorted(got, key=lambda r: r.doc_id):
+        first.setdefault(r.group, r.doc_id)
+    return [first[r.group] for r in sorted(got, key=lambda r: r.doc_id)]
+
+
+def edited_copies(rng, words, copies, low, high):
+    """Texts of these words, each with from low to high of them changed."""
+    out = []
+    for n in range(copies):
+        own = list(words)
+        for k in rng.choice(len(own), rng.integers(low, high + 1), replace=False):
+            own[k] = f"e{n}y{k}"
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize(("copies", "length", "edits"), [(1000, 200, 4), (400, 260, 6)])
+def test_near_copies_of_a_large_family(spark, copies, length, edits):
+    texts = edited_copies(np.random.default_rng(5), WORDS[:length], copies, 1, edits)
+    want = brute_groups(texts)
+    got = grouped(spark, texts)
+    print("groups", len(set(got)), "by brute force", len(set(want)))
+    assert got == want
+
+
 def test_ann(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(300, 24)).astype(np.float32)
