@@ -226,6 +226,18 @@ def test_near_copies_of_a_large_family(spark, copies, length, edits):
     assert got == want
 
 
+def test_near_copies_of_short_texts(spark):
+    rng, texts = np.random.default_rng(6), []
+    for n in range(300):
+        words = [f"s{n}t{k}" for k in range(int(rng.integers(10, 31)))]
+        texts += [" ".join(words), " ".join([*words[:-1], "end"]), " ".join([*words, "two", "more"])]
+    texts += [f"l{n} " + " ".join(WORDS[:20]) + f" m{n}" for n in range(200)] + [" ".join([*WORDS[:20], *(f"o{n}p{k}" for k in range(20))]) for n in range(200)]
+    want = brute_groups(texts)
+    got = grouped(spark, texts)
+    print("groups", len(set(got)), "by brute force", len(set(want)))
+    assert got == want
+
+
 def test_ann(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(300, 24)).astype(np.float32)
