@@ -238,6 +238,22 @@ def test_near_copies_of_short_texts(spark):
     assert got == want
 
 
+def test_near_copies_of_long_texts(spark):
+    rng, texts = np.random.default_rng(7), []
+    for n in range(60):
+        words = [f"h{n}j{k}" for k in range(int(rng.integers(400, 1500)))]
+        blocks = round(len(words) * (1 / (0.795 + 0.001 * (n % 20)) - 1) / 5)
+        own = list(words)
+        for k in range(blocks):
+            own.insert(int(rng.integers(0, len(own))) if k % 2 else len(own), f"v{n}w{k}")
+        texts += [" ".join(words), " ".join(own)]
+    want = brute_groups(texts)
+    got = grouped(spark, texts)
+    print("pairs", 120 - len(set(got)), "by brute force", 120 - len(set(want)), "otherwise", sum(a != b for a, b in zip(got, want, strict=True)))
+    assert 0 < 120 - len(set(want)) < 60
+    assert got == want
+
+
 def test_ann(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(300, 24)).astype(np.float32)
