@@ -150,6 +150,23 @@ def extensions(ends: DataFrame, around: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, run long, left boolean, words int")
 
 
+def broken_steps(gaps: DataFrame, around: DataFrame) -> DataFrame:
+    """gaps: doc_id, place, kept_doc_id, kept_place, prev, kept_prev, of paragraphs and those before them on a diagonal. The
+    paragraphs (doc_id, place, kept_doc_id, kept_place) before which over EDITS of the words in between differ."""
+    own, kept = (around.select(F.col("doc_id").alias(f"{x}doc_id"), F.col("place").alias(f"{x}prev"), F.col("after").alias(f"{x}after")) for x in ("", "kept_"))
+    both = gaps.join(own, ["doc_id", "prev"]).join(kept, ["kept_doc_id", "kept_prev"])
+    rows = both.select("doc_id", "place", "kept_doc_id", "kept_place", (F.col("place") - F.col("prev") - UNIT).alias("between"), "after", "kept_after")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint32).reshape(-1, REACH) for k in (5, 6))
+                asked = np.arange(REACH) < b.column(4).to_numpy()[:, None]
+                yield b.select([0, 1, 2, 3]).filter(pa.array(((x != y) & asked).sum(axis=1) > EDITS))
+
+    return rows.mapInArrow(run, "doc_id long, place int, kept_doc_id long, kept_place int").distinct()
+
+
 def windows(docs: DataFrame, asked: DataFrame, least: int) -> DataFrame:
     """(doc_id, start, window, class_id): the runs of `least` words that hold an asked paragraph (doc_id, hash), wherever it
     stands in the document; window is a hash of the words, class_id that of the run's first asked paragraph."""
@@ -228,8 +245,8 @@ def repeated_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     Paragraphs are grouped: equal ones by a 64-bit hash, and those of few word edits by MinHash bands, a check of
     the edits, and components. A group's first paragraph (smallest doc_id, then place) is kept, with its
-    document's others; class_id names the group. Paragraphs in a row on one diagonal of a pair of documents are a run, which
-    grows on both sides as far as the words agree, and is a passage if it has `least` words or more (50 at least, below
+    document's others; class_id names the group. Paragraphs in a row on one diagonal of a pair of documents are a run, if of
+    the words between two of them no more than EDITS differ; it grows on both sides as far as the words agree, and is a passage if it has `least` words or more (50 at least, below
     which the paragraphs guarantee nothing). Runs of `least` equal words that this misses, as their paragraphs come first in
     another document or at another place, are found by hashes of the whole run: every such run of an earlier document is
     covered, but for collisions of hashes.
@@ -265,8 +282,18 @@ def repeated_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
     release(spark)
     found = seen.where("kept_doc_id <> doc_id")
     line = Window.partitionBy("doc_id", "kept_doc_id", F.col("place") - F.col("kept_place")).orderBy("place")
-    new = F.coalesce(F.col("place") - F.lag("place").over(line) > WINDOW, F.lit(True)).cast("int")
-    marked = found.withColumn("new", new).withColumn("nth", F.sum("new").over(line))
+    steps = found.select("doc_id", "place", "kept_doc_id", "kept_place", "class_id", F.lag("place").over(line).alias("prev"), F.lag("kept_place").over(line).alias("kept_prev"), F.lead("place").over(line).alias("next"))
+    steps, steps_path = saved(steps, "steps")
+    release(spark)
+    # the ends that runs have or get where they are split
+    open_ = steps.where("prev is null or next is null").union(steps.where((F.col("place") - F.col("prev") > UNIT) | (F.col("next") - F.col("place") > UNIT)))
+    around, around_path = saved(contexts(rows, open_.select("doc_id", "place").union(open_.select("kept_doc_id", "kept_place"))), "contexts")
+    release(spark)
+    gaps = steps.where((F.col("place") - F.col("prev")).between(UNIT + 1, WINDOW)).drop("class_id", "next")
+    broken, broken_path = saved(broken_steps(gaps, around), "broken")
+    at = ["doc_id", "place", "kept_doc_id", "kept_place"]
+    new = (F.coalesce(F.col("place") - F.col("prev") > WINDOW, F.lit(True)) | F.col("split").isNotNull()).cast("int")
+    marked = steps.join(broken.withColumn("split", F.lit(True)), at, "left").withColumn("new", new).withColumn("nth", F.sum("new").over(line))
     low, high = F.struct("place", "kept_place", "class_id"), F.struct("place", "kept_place")
     runs = marked.groupBy("doc_id", "kept_doc_id", (F.col("place") - F.col("kept_place")).alias("diagonal"), "nth").agg(F.min(low).alias("low"), F.max(high).alias("high"))
     runs = runs.withColumn("run", F.xxhash64("kept_doc_id", "diagonal", "nth"))
@@ -274,13 +301,10 @@ def repeated_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
     release(spark)
     side = lambda s, left: runs.select("doc_id", "run", F.col(f"{s}.place").alias("place"), "kept_doc_id", F.col(f"{s}.kept_place").alias("kept_place"), F.lit(left).alias("left"))
     ends = side("low", True).union(side("high", False))
-    wanted = ends.select("doc_id", "place").union(ends.select("kept_doc_id", "kept_place"))
-    around, around_path = saved(contexts(rows, wanted), "contexts")
-    release(spark)
     more = extensions(ends, around).groupBy("doc_id", "run").agg(F.max(F.when(F.col("left"), F.col("words"))).alias("lead"), F.max(F.when(~F.col("left"), F.col("words"))).alias("trail"))
     out = runs.join(more, ["doc_id", "run"]).select("doc_id", (F.col("low.place") - F.col("lead")).alias("word_start"), (F.col("high.place") + UNIT + F.col("trail")).alias("word_end"), "kept_doc_id", F.col("low.class_id").alias("class_id"))
     out, _ = saved(out.where(F.col("word_end") - F.col("word_start") >= least), "passages")
-    for path in (runs_path, around_path):
+    for path in (steps_path, broken_path, runs_path, around_path):
         drop_path(spark, path)
     release(spark)
     later, paths = later_passages(rows, seen, out, least)

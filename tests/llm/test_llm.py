@@ -155,6 +155,19 @@ def test_passages_whose_paragraphs_come_first_elsewhere(spark):
     assert {(r.doc_id, r.word_start, r.word_end, r.kept_doc_id) for r in spans} == {(3, 0, 60, 2), (6, 70, 130, 5)}
 
 
+def test_passages_of_templates_with_a_slot(spark):
+    rows = []
+    for n in range(150):
+        for k in range(2):
+            slot = [f"n{n}s{k}d{i}" for i in range(12)]
+            rows.append((2 * n + k, " ".join([f"n{n}f{k}", *(f"n{n}a{i}" for i in range(25)), *slot, *(f"n{n}b{i}" for i in range(25))])))
+    whole = " ".join(f"g{i}" for i in range(90))
+    rows += [(1000, whole), (1001, f"before {whole} after")]
+    spans = passages.repeated_passages(documents(spark, rows)).collect()
+    print("slots cut", sum(r.doc_id < 1000 for r in spans))
+    assert {(r.doc_id, r.word_start, r.word_end, r.kept_doc_id) for r in spans} == {(1001, 1, 91, 1000)}
+
+
 def test_passages_by_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()
     covered = {}
