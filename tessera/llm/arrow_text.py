@@ -87,14 +87,24 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of runs of n items of h."""
-    size = len(h) - n + 1
-    if size <= 0:
+    """Hashes of runs of n items of h, by doubling."""
+    if len(h) < n:
         return np.zeros(0, np.uint64)
-    out = np.zeros(size, np.uint64)
-    for k in range(n):
-        out = out * np.uint64(_BASE) + h[k : k + size]
-    return mix(out)
+    done, part, power = 1, h.astype(np.uint64), _BASE
+    out, used = None, 0
+    while True:
+        if n & done:
+            if out is None:
+                out, used = part, done
+            else:
+                size = len(h) - used - done + 1
+                out = out[:size] * np.uint64(power) + part[used : used + size]
+                used += done
+        if used == n:
+            return mix(out[: len(h) - n + 1])
+        size = len(part) - done
+        part = part[:size] * np.uint64(power) + part[done:]
+        power, done = power * power & (1 << 64) - 1, done * 2
 
 
 def sliding(a: np.ndarray, n: int, f=np.minimum) -> np.ndarray:

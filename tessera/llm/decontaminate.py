@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow_text import chunks, codepoints, mix
+from tessera.llm.arrow_text import chunks, codepoints, gram_hashes
 from tessera.llm.scratch import table
 
 Q = 10
@@ -25,7 +25,6 @@ BLOCK = 1 << 22
 INDEX_CHARS = 4_000_000
 SPACE, BETWEEN = 32, 0x110000
 _BITS = 20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 _fold: list[np.ndarray] = []
 OUT = "doc_id long, item_id long, start long, end long, edits long"
 
@@ -58,27 +57,6 @@ def normalise(cp: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.insert(out, marks, BETWEEN), np.insert(where, marks, where[marks])
 
 
-def grams(a: np.ndarray, q: int) -> np.ndarray:
-    """Hashes of runs of q characters, by doubling."""
-    if len(a) < q:
-        return np.zeros(0, np.uint64)
-    done, h, power = 1, a.astype(np.uint64), int(_BASE)
-    out, used = None, 0
-    while True:
-        if q & done:
-            if out is None:
-                out, used = h, done
-            else:
-                size = len(a) - used - done + 1
-                out = out[:size] * np.uint64(power) + h[used : used + size]
-                used += done
-        if used == q:
-            return mix(out[: len(a) - q + 1])
-        size = len(h) - done
-        h = h[:size] * np.uint64(power) + h[done:]
-        power, done = power * power & (1 << 64) - 1, done * 2
-
-
 @dataclass
 class Index:
     """Items of a benchmark and where their q-grams are."""
@@ -108,7 +86,7 @@ def build(rows: list[tuple[int, str]], q: int = Q, share: float = EDITS) -> Inde
         cut += [(item_id, p) for p in parts.values()]
     for item_id, a in cut:
         k = min(int(share * len(a)), len(a) // q - 1)
-        h = grams(a, q)
+        h = gram_hashes(a, q)
         ids.append(item_id)
         items.append(a)
         edits.append(k)
@@ -130,7 +108,7 @@ def bands(text: np.ndarray, index: Index, q: int = Q) -> list[tuple[int, int]]:
 
     A hit lies on the diagonal of its position less its offset in the item. The hits of an occurrence with k edits are within k + 1
     diagonals; bands are twice as wide and overlap by half, so that one of them holds all."""
-    h = grams(text, q)
+    h = gram_hashes(text, q)
     hit = np.flatnonzero(index.seen[h >> np.uint64(64 - _BITS)])
     if not len(hit) or not len(index.grams):
         return []

@@ -1,9 +1,10 @@
-"""Substring dedup: paragraphs of fixed length at content-chosen places, MinHash bands, verified runs.
+"""Substring dedup: MinHash banding of 50-word paragraphs, exact Jaccard checks, removals clustered by components.
 
-A repeated passage may begin anywhere in a line, so paragraphs can't be cut at line feeds alone. Paragraphs here are
-windows of 16 words whose places the words choose (winnowing, Schleimer et al. 2003): a window begins
-at each 5-word gram that has the least hash among some 35 in a row. Two documents that share 50 words in a row
-choose the same places there, and so share a paragraph at least.
+Passages begin anywhere in a line, so a paragraph here is any run of 50 words, with its set of 46 five-word shingles. A band
+is the MinHash of 13 consecutive shingles of a paragraph, and its key the 12 words that begin at the least one. Neighbouring
+paragraphs share nearly all their bands, so a text has about one key for each seven words (winnowing, Schleimer et al.
+2003). Paragraphs of Jaccard 0.8 differ in one place of at most a few words, which leaves 24 equal words in a row on one side: a band
+lies within these, so the two share a key with certainty. Equal paragraphs have all their keys in common.
 """
 
 from __future__ import annotations
@@ -15,304 +16,328 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow_text import chunks, gram_hashes, sliding, word_hashes, words
+from tessera.llm.arrow_text import chunks, gram_hashes, mix, sliding, word_hashes, words
 from tessera.llm.components import connected_components
-from tessera.llm.scratch import drop_path, release, saved, table
-
-#: Words of a passage; words of a paragraph, grams that compete for a place, words of a gram. 50 = 16 + 35 - 1.
-LEAST, UNIT, WINDOW, GRAM = 50, 16, 35, 5
-#: Bands of a paragraph and minima of each: with 2 of 2, paragraphs of Jaccard 0.8 meet with probability 0.87, and a
-#: passage has several.
-BANDS, ROWS = 2, 2
-#: Word edits that two paragraphs may differ by (similarity 0.8).
-EDITS = 3
-#: Words on either side of a paragraph that are compared to find where a passage ends.
-REACH = 36
-#: Words after a paragraph are counted up to here; a count of this much stands for any more.
-REST = 255
-LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", np.uint8)
-NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
-_POWERS = np.multiply.accumulate(np.full(UNIT, 0x9E3779B97F4A7C15, np.uint64))
-
-
-def places(h: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Words at which paragraphs begin. h: word hashes; row: the row of each."""
-    g = gram_hashes(h, GRAM)
-    if len(h) < UNIT or len(g) < WINDOW:
+from tessera.llm.scratch import drop_path, release, saved, table, unused_name
+
+#: Words of a paragraph and of a shingle; shingles of a band; words of a key. 24 = 13 + 12 - 1 equal words share a key.
+LEAST, GRAM, BAND, UNIT = 50, 5, 13, 12
+SIMILARITY = 0.8
+#: Longer runs around a key that paragraphs of this similarity must share: of 24 equal words that hold a key, one of the runs of 21 that
+#: begin so many words before it is a part.
+RUN, SHIFTS = 21, (0, 3, 6, 9)
+#: Words that an inserted or deleted word may shift shingles by.
+SLIP = 5
+#: Words that are worked on at once.
+BLOCK = 1 << 20
+#: Once the pairs that are left are no more than this many for each row, all are compared.
+LINEAR = 8
+LEFT, RIGHT = LEAST - UNIT, LEAST
+
+
+def places(w: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Words at which keys begin. w: word hashes; row: the row of each."""
+    g = gram_hashes(w, GRAM)
+    low = sliding(g, BAND)
+    if not len(low):
         return np.zeros(0, np.int64)
-    g = np.where(row[: len(g)] == row[GRAM - 1 :], g, NEVER)
-    low = sliding(g, WINDOW)
-    edge = np.zeros(WINDOW - 1, np.uint64)
-    chosen = sliding(np.concatenate([edge, low, edge]), WINDOW, np.maximum) == g
-    at = np.flatnonzero(chosen & (g != NEVER))
-    at = at[at + UNIT <= len(h)]
+    low = np.where(row[: len(low)] == row[GRAM + BAND - 2 :], low, 0)
+    edge = np.zeros(BAND - 1, np.uint64)
+    at = np.flatnonzero(sliding(np.concatenate([edge, low, edge]), BAND, np.maximum) == g)
+    at = at[at + UNIT <= len(w)]
     return at[row[at] == row[at + UNIT - 1]]
 
 
-def _finished(whole: np.ndarray) -> np.ndarray:
-    """Hashes of paragraphs from the sums of their words' hashes by _POWERS."""
-    whole = (whole ^ (whole >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return whole ^ (whole >> np.uint64(29))
+def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(values, kind))
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, hash, signature, again, rest): place counts words; the signature has a letter for each of the 16 words. Of
-    equal paragraphs of a document, the first; again tells that it has more. rest: words after the paragraph, REST at most."""
+def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Runs of an array of 4-byte values, a binary for each."""
+    offsets = np.append(0, np.cumsum(counts)) * 4
+    return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, _, data, offsets in chunks(b.column(1)):
-                starts, ends, row = words(data, offsets)
-                h = word_hashes(data, starts, ends)
-                at = places(h, row)
-                if not len(at):
-                    continue
-                own = h[at[:, None] + np.arange(UNIT)]
-                whole = _finished((own * _POWERS).sum(axis=1, dtype=np.uint64))
-                order = np.lexsort((at, whole, row[at]))
-                same = np.zeros(len(at), bool)
-                same[1:] = (whole[order][1:] == whole[order][:-1]) & (row[at][order][1:] == row[at][order][:-1])
-                more = np.zeros(len(at), bool)
-                more[order[:-1]] = same[1:]
-                keep = np.sort(order[~same])
-                at, own, whole = at[keep], own[keep], whole[keep]
-                letters = LETTERS[(own >> np.uint64(58)).astype(np.int64)]
-                first = np.searchsorted(row, row[at])
-                rest = np.minimum(np.searchsorted(row, row[at], "right") - at - UNIT, REST).astype(np.int32)
-                text = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer((np.arange(len(at) + 1) * UNIT).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(letters))])
-                ids = b.column(0).take(pa.array(lo + row[at]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array((at - first).astype(np.int32)), pa.array(whole.view(np.int64)), text, pa.array(more[keep]), pa.array(rest)], ["doc_id", "place", "hash", "signature", "again", "rest"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, place int, hash long, signature string, again boolean, rest int")
-
-
-def near_links(classes: DataFrame) -> DataFrame:
-    """classes: hash, signature. Pairs (a, b) of different paragraphs of at most EDITS word edits, found by MinHash bands:
-    each paragraph is compared to the smallest and to the largest that it shares a band with."""
-    gram = lambda k: F.transform(F.sequence(F.lit(1), F.lit(UNIT - GRAM + 1)), lambda i: F.xxhash64(F.substring(F.col("signature"), i, F.lit(GRAM)), F.lit(k)))
-    bands = [F.xxhash64(F.lit(b), *[F.array_min(gram(b * ROWS + r)) for r in range(ROWS)]) for b in range(BANDS)]
-    rows = classes.select("hash", "signature", F.explode(F.array(*bands)).alias("band"))
-    one = F.struct("hash", "signature")
-    ends = rows.groupBy("band").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low.hash < high.hash")
-    met = rows.join(ends, "band").select("hash", "signature", F.explode(F.array_distinct(F.array("low", "high"))).alias("other"))
-    close = F.levenshtein("signature", F.col("other.signature"), EDITS) >= 0
-    return met.where((F.col("hash") != F.col("other.hash")) & close).select(F.least("hash", "other.hash").alias("a"), F.greatest("hash", "other.hash").alias("b")).distinct()
-
-
-def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, place, before, after): hashes of the REACH words on either side of the wanted paragraphs, nearest first,
-    4 bytes each; a document's end is 0. Rows that repeat a doc_id count as one, the first by text."""
-    asked = wanted.distinct().groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(asked, "doc_id")
+
+def text_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of rows of text: each one's hash, words, and words' hashes; and (row, key) of its distinct keys."""
+    starts, ends, row = words(data, offsets)
+    h = word_hashes(data, starts, ends)
+    count = np.bincount(row, minlength=len(offsets) - 1)
+    first = np.append(0, np.cumsum(count))[:-1]
+    place = (np.arange(len(h)) - first[row]).astype(np.uint64)
+    total = np.append(np.uint64(0), np.cumsum(mix(h + place * np.uint64(0x9E3779B97F4A7C15))))
+    whole = mix(total[first + count] - total[first] + count.astype(np.uint64))
+    w = np.maximum(h >> np.uint64(32), np.uint64(1)).astype(np.uint32)
+    at = places(w.astype(np.uint64), row)
+    keys, owner = gram_hashes(w.astype(np.uint64), UNIT)[at], row[at]
+    order = np.lexsort((keys, owner))
+    keys, owner = keys[order], owner[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+    return whole, count, w, owner[new], keys[new]
+
+
+def banded(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_words, words (4 bytes each), keys of the rows of LEAST words or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            asked = b.column(2).to_pylist()
             for lo, hi, data, offsets in chunks(b.column(1)):
-                starts, ends, row = words(data, offsets)
-                h = (word_hashes(data, starts, ends) >> np.uint64(32)).astype(np.uint32)
-                first = np.searchsorted(row, np.arange(hi - lo + 1))
-                ids, at, before, after = [], [], [], []
-                for k in range(hi - lo):
-                    own = np.concatenate([np.zeros(REACH, np.uint32), h[first[k] : first[k + 1]], np.zeros(REACH, np.uint32)])
-                    for p in asked[lo + k]:
-                        if p + UNIT <= first[k + 1] - first[k]:
-                            ids.append(lo + k)
-                            at.append(p)
-                            before.append(own[p : p + REACH][::-1].tobytes())
-                            after.append(own[p + REACH + UNIT : p + 2 * REACH + UNIT].tobytes())
-                if ids:
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids)), pa.array(at, pa.int32()), pa.array(before, pa.binary()), pa.array(after, pa.binary())], ["doc_id", "place", "before", "after"])
-
-    return text.mapInArrow(run, "doc_id long, place int, before binary, after binary").dropDuplicates(["doc_id", "place"])
-
-
-def _alike(a: pa.Array, b: pa.Array) -> np.ndarray:
-    """Words that two columns of contexts have in common, from the nearest on."""
-    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint32).reshape(-1, REACH) for c in (a, b))
-    differs = (x != y) | (x == 0)
-    return np.where(differs.any(axis=1), differs.argmax(axis=1), REACH)
-
-
-def extensions(ends: DataFrame, around: DataFrame) -> DataFrame:
-    """ends: doc_id, run, place, kept_doc_id, kept_place, left. (doc_id, run, left, words): how many words more the two
-    texts agree on, before the run's first paragraph (left) or after its last."""
-    kept = around.select(F.col("doc_id").alias("kept_doc_id"), F.col("place").alias("kept_place"), F.col("before").alias("kept_before"), F.col("after").alias("kept_after"))
-    both = ends.join(around, ["doc_id", "place"]).join(kept, ["kept_doc_id", "kept_place"])
-    pick = lambda p: F.when(F.col("left"), F.col(f"{p}before")).otherwise(F.col(f"{p}after"))
-    rows = both.select("doc_id", "run", "left", pick("").alias("x"), pick("kept_").alias("y"))
+                whole, count, w, owner, keys = text_keys(data, offsets)
+                long = count >= LEAST
+                if not long.any():
+                    continue
+                held = np.bincount(owner, minlength=hi - lo)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).filter(pa.array(long)), pa.array(whole.view(np.int64)[long]), pa.array(count[long], pa.int32()), _binary(w[np.repeat(long, count)], count[long]), _lists(keys.view(np.int64)[long[owner]], held[long], pa.int64())], ["doc_id", "text_hash", "n_words", "words", "keys"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if len(b):
-                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(_alike(b.column(3), b.column(4)), pa.int32())], ["doc_id", "run", "left", "words"])
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, text_hash long, n_words int, words binary, keys array<long>")
 
-    return rows.mapInArrow(run, "doc_id long, run long, left boolean, words int")
 
+def _pooled(b: pa.RecordBatch, column: str, most: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, words, row of each word, first word of each row) of runs of rows of some `most` words."""
+    parts = [np.frombuffer(x.as_buffer(), np.uint32) for x in b.column(column)]
+    lo = 0
+    while lo < len(parts):
+        hi, size = lo, 0
+        while hi < len(parts) and (hi == lo or size + len(parts[hi]) <= most):
+            size, hi = size + len(parts[hi]), hi + 1
+        count = np.array([len(p) for p in parts[lo:hi]])
+        yield lo, hi, np.concatenate(parts[lo:hi]).astype(np.uint64), np.repeat(np.arange(hi - lo), count), np.append(0, np.cumsum(count))
+        lo = hi
 
-def broken_steps(gaps: DataFrame, around: DataFrame) -> DataFrame:
-    """gaps: doc_id, place, kept_doc_id, kept_place, prev, kept_prev, of paragraphs and those before them on a diagonal. The
-    paragraphs (doc_id, place, kept_doc_id, kept_place) before which over EDITS of the words in between differ."""
-    own, kept = (around.select(F.col("doc_id").alias(f"{x}doc_id"), F.col("place").alias(f"{x}prev"), F.col("after").alias(f"{x}after")) for x in ("", "kept_"))
-    both = gaps.join(own, ["doc_id", "prev"]).join(kept, ["kept_doc_id", "kept_prev"])
-    rows = both.select("doc_id", "place", "kept_doc_id", "kept_place", (F.col("place") - F.col("prev") - UNIT).alias("between"), "after", "kept_after")
+
+def opened(texts: DataFrame, least: int) -> DataFrame:
+    """texts: doc_id, text_hash, words, keys (those that other texts have too). Of each: the runs of `least` words all of whose
+    keys are shared (starts and hashes), and its places with a shared key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if len(b):
-                x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint32).reshape(-1, REACH) for k in (5, 6))
-                asked = np.arange(REACH) < b.column(4).to_numpy()[:, None]
-                yield b.select([0, 1, 2, 3]).filter(pa.array(((x != y) & asked).sum(axis=1) > EDITS))
-
-    return rows.mapInArrow(run, "doc_id long, place int, kept_doc_id long, kept_place int").distinct()
+            shared = np.unique(np.asarray(b.column("keys").flatten()))
+            for lo, hi, w, row, first in _pooled(b, "words"):
+                at = places(w, row)
+                keys = gram_hashes(w, UNIT)[at].view(np.int64)
+                known = np.isin(keys, shared)
+                held, other = (np.append(0, np.cumsum(np.bincount(x, minlength=len(w) + 1))) for x in (at[known], at[~known]))
+                s = np.arange(max(0, len(w) - least + 1))
+                s = s[row[s] == row[s + least - 1]]
+                # between these two places a band of the run chooses every key, so all must be shared
+                sure = other[s + least - GRAM - BAND + 2] == other[s + BAND - 1]
+                s = s[sure & (held[s + least - UNIT + 1] > held[s])]
+                windows = gram_hashes(w, least)[s].view(np.int64)
+                at, keys = at[known], keys[known]
+                n = hi - lo
+                starts = _lists((s - first[row[s]]).astype(np.int32), np.bincount(row[s], minlength=n), pa.int32())
+                found = _lists(windows, np.bincount(row[s], minlength=n), pa.int64())
+                at_ = _lists((at - first[row[at]]).astype(np.int32), np.bincount(row[at], minlength=n), pa.int32())
+                keys_ = _lists(keys, np.bincount(row[at], minlength=n), pa.int64())
+                own = [b.column(k).slice(lo, n) for k in ("doc_id", "text_hash", "words")]
+                yield pa.RecordBatch.from_arrays([*own, starts, found, at_, keys_], ["doc_id", "text_hash", "words", "starts", "windows", "places", "keys"])
+
+    return texts.select("doc_id", "text_hash", "words", "keys").mapInArrow(run, "doc_id long, text_hash long, words binary, starts array<int>, windows array<long>, places array<int>, keys array<long>")
+
+
+def exact_islands(open_: DataFrame, least: int) -> tuple[DataFrame, list[str]]:
+    """doc_id, word_start, word_end, kept_doc_id: maximal runs of equal `least`-word runs that have the same first document, its own
+    included; and paths to drop. Equal runs meet in minima that are aggregated before the shuffle, whatever their number."""
+    runs = open_.select("doc_id", F.explode(F.arrays_zip("starts", "windows")).alias("r")).select("doc_id", F.col("r.starts").alias("start"), F.col("r.windows").alias("window"))
+    first = runs.groupBy("window").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("last")).where("kept_doc_id < last").drop("last")
+    # written, as AQE splits a hot window's rows only where both sides of the join are dealt out for it
+    first, first_path = saved(first, "first")
+    line = Window.partitionBy("doc_id").orderBy("start", "kept_doc_id")
+    new = F.coalesce((F.col("start") - F.lag("start").over(line) > 1) | (F.col("kept_doc_id") != F.lag("kept_doc_id").over(line)), F.lit(True)).cast("int")
+    hits = runs.join(first, "window").select("doc_id", "start", "kept_doc_id").withColumn("new", new).withColumn("nth", F.sum("new").over(line))
+    out = hits.groupBy("doc_id", "nth").agg(F.min("start").alias("word_start"), (F.max("start") + least).alias("word_end"), F.min("kept_doc_id").alias("kept_doc_id")).drop("nth")
+    out, path = saved(out, "islands")
+    return out, [first_path, path]
 
 
-def windows(docs: DataFrame, asked: DataFrame, least: int) -> DataFrame:
-    """(doc_id, start, window, class_id): the runs of `least` words that hold an asked paragraph (doc_id, hash), wherever it
-    stands in the document; window is a hash of the words, class_id that of the run's first asked paragraph."""
-    open_ = asked.groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
-    text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(open_, "doc_id")
+def surroundings(open_: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, place, key, runs, around: of the wanted (doc_id, place) the longer runs' hashes, and LEFT words before and RIGHT from the place on, 4
+    bytes each; 0 is beyond the text."""
+    asked = wanted.groupBy("doc_id").agg(F.collect_set("place").alias("asked"))
+    rows = open_.select("doc_id", "words").join(asked, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes = b.column(2).to_pylist()
-            for lo, hi, data, offsets in chunks(b.column(1)):
-                starts, ends, row = words(data, offsets)
-                h = word_hashes(data, starts, ends)
-                first = np.searchsorted(row, np.arange(hi - lo + 1))
-                for k in range(hi - lo):
-                    own = h[first[k] : first[k + 1]]
-                    if len(own) < least:
-                        continue
-                    size = len(own) - UNIT + 1
-                    whole = np.zeros(size, np.uint64)
-                    for j in range(UNIT):
-                        whole += own[j : j + size] * _POWERS[j]
-                    whole = _finished(whole).view(np.int64)
-                    marks = np.flatnonzero(np.isin(whole, np.array(hashes[lo + k], np.int64)))
-                    at = np.arange(len(own) - least + 1)
-                    nth = np.searchsorted(marks, at)
-                    held = nth < len(marks)
-                    held[held] = marks[nth[held]] + UNIT <= at[held] + least
-                    at, nth = at[held], nth[held]
-                    if len(at):
-                        ids = pa.array([b.column(0)[lo + k].as_py()] * len(at), pa.int64())
-                        yield pa.RecordBatch.from_arrays([ids, pa.array(at, pa.int32()), pa.array(gram_hashes(own, least)[at].view(np.int64)), pa.array(whole[marks[nth]])], ["doc_id", "start", "window", "class_id"])
-
-    return text.mapInArrow(run, "doc_id long, start int, window long, class_id long")
-
-
-def later_passages(docs: DataFrame, seen: DataFrame, found: DataFrame, least: int) -> tuple[DataFrame, list[str]]:
-    """Passages that `found` lacks because the document that they repeat isn't the first to hold their paragraphs, or
-    holds them at several places; and the paths of tables that they come from.
-
-    seen: doc_id, place, hash, again, rest, kept_doc_id of all paragraphs of groups. A hash is open if some document has it twice, or
-    has a run of `least` words with it that may reach out of the passages found. Every run of `least` words around an open paragraph is hashed, in all documents that hold it, and the
-    smallest doc_id of each hash is aggregated before the shuffle; equal runs are thus found whatever their number.
-    """
-    spans = found.select(F.col("doc_id").alias("span_doc"), "word_start", "word_end")
-    inside = lambda low, high: (F.col("doc_id") == F.col("span_doc")) & (low >= F.col("word_start")) & (high <= F.col("word_end"))
-    after = F.when(F.col("rest") < REST, F.least("rest", F.lit(least - UNIT))).otherwise(least - UNIT)
-    around = inside(F.greatest(F.col("place") + UNIT - least, F.lit(0)), F.col("place") + UNIT + after) & ~F.col("again")
-    loose = seen.where("kept_doc_id <> doc_id").join(spans, around, "left_anti")
-    asked, asked_path = saved(seen.select("doc_id", "hash").join(loose.select("hash").distinct(), "hash", "left_semi"), "open")
-    runs, runs_path = saved(windows(docs, asked, least), "windows")
-    first = runs.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last")
-    # read again, as AQE splits a hot window's rows only where both sides of the join are dealt out for it
-    first, first_path = saved(first, "first")
-    hits = runs.join(first, "window").where(F.col("doc_id") != F.col("first.doc_id")).select("doc_id", "start", "class_id", F.col("first.doc_id").alias("kept_doc_id")).distinct()
-    hits = hits.join(spans, inside(F.col("start"), F.col("start") + least), "left_anti")
-    line = Window.partitionBy("doc_id", "kept_doc_id").orderBy("start")
-    new = F.coalesce(F.col("start") - F.lag("start").over(line) > 1, F.lit(True)).cast("int")
-    marked = hits.withColumn("new", new).withColumn("nth", F.sum("new").over(line))
-    joined = marked.groupBy("doc_id", "kept_doc_id", "nth").agg(F.min("start").alias("word_start"), (F.max("start") + least).alias("word_end"), F.min_by("class_id", "start").alias("class_id"))
-    return joined.select("doc_id", "word_start", "word_end", "kept_doc_id", "class_id"), [asked_path, runs_path, first_path]
+            for lo, hi, w, row, first in _pooled(b, "words"):
+                asked = b.column("asked").slice(lo, hi - lo)
+                own = np.repeat(np.arange(hi - lo), np.asarray(asked.value_lengths()))
+                place = np.asarray(asked.flatten()).astype(np.int64)
+                at = place + first[own]
+                longer = gram_hashes(w, RUN).view(np.int64)
+                begins = at[:, None] - np.array(SHIFTS)
+                fits = (begins >= first[own][:, None]) & (begins + RUN <= first[own + 1][:, None])
+                salted = longer[np.clip(begins, 0, max(0, len(longer) - 1))] + np.arange(len(SHIFTS)) if len(longer) else np.zeros(begins.shape, np.int64)
+                near = at[:, None] + np.arange(-LEFT, RIGHT)
+                inside = (near >= first[own][:, None]) & (near < first[own + 1][:, None])
+                around = np.where(inside, w[np.clip(near, 0, len(w) - 1)], 0).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(lo + own)), pa.array(place, pa.int32()), pa.array(gram_hashes(w, UNIT)[at].view(np.int64)), _lists(salted[fits], fits.sum(axis=1), pa.int64()), _binary(around.reshape(-1), np.full(len(at), LEFT + RIGHT))], ["doc_id", "place", "key", "runs", "around"])
+
+    return rows.mapInArrow(run, "doc_id long, place int, key long, runs array<long>, around binary")
+
+
+def similar_spans(x: np.ndarray, y: np.ndarray, least: int = LEAST, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """x, y: surroundings of two places, a row for each pair. First and end word (of x) of the union of the paragraphs around the
+    place whose shingles reach this Jaccard similarity with those of the paragraph at the same place in y; both 0 if there are none. The union begins and ends
+    with a shared shingle. Shingles are compared in order, at most SLIP words apart, so one that repeats counts as often."""
+    n, size = x.shape[1] - GRAM + 1, least - GRAM + 1
+
+    def grams(a: np.ndarray, never: int) -> np.ndarray:
+        out, hole = np.zeros((len(a), n), np.uint64), np.zeros((len(a), n), bool)
+        for k in range(GRAM):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + a[:, k : k + n]
+            hole |= a[:, k : k + n] == 0
+        return np.where(hole, np.uint64(never), mix(out))
+
+    a, b = grams(x, 1), grams(y, 2)
+    left = np.ones(a.shape, bool)
+    starts = n - size + 1
+    total = np.zeros((len(a), starts), np.int32)
+    for slip in sorted(range(-SLIP, SLIP + 1), key=abs):
+        lo, hi = max(0, -slip), min(n, n - slip)
+        same = np.zeros(a.shape, bool)
+        same[:, lo:hi] = a[:, lo:hi] == b[:, lo + slip : hi + slip]
+        same &= left
+        left &= ~same
+        sums = np.concatenate([np.zeros((len(a), 1), np.int32), np.cumsum(same, axis=1, dtype=np.int32)], axis=1)
+        t = np.arange(starts)
+        total += sums[:, np.minimum(t + size, t + size - slip)] - sums[:, np.maximum(t, t - slip)]
+    good = total >= np.ceil(2 * size * similarity / (1 + similarity) - 1e-9)
+    any_ = good.any(axis=1)
+    begin, end = good.argmax(axis=1), starts - 1 - good[:, ::-1].argmax(axis=1) + size
+    shared, at = ~left, np.arange(n)
+    shared &= (at >= begin[:, None]) & (at < end[:, None])
+    begin, end = shared.argmax(axis=1), n - shared[:, ::-1].argmax(axis=1) + GRAM - 1
+    any_ &= end - begin >= least
+    return np.where(any_, begin, 0), np.where(any_, end, 0)
+
+
+def verified(pairs: DataFrame, around: DataFrame, least: int) -> DataFrame:
+    """pairs: doc_id, place, kept_doc_id, kept_place. doc_id, place, word_start, word_end, kept_doc_id, key of those around which paragraphs are similar."""
+    own = around.select("doc_id", "place", "key", F.col("around").alias("x"))
+    kept = around.select(F.col("doc_id").alias("kept_doc_id"), F.col("place").alias("kept_place"), F.col("around").alias("y"))
+    both = pairs.join(own, ["doc_id", "place"]).join(kept, ["kept_doc_id", "kept_place"]).select("doc_id", "place", "kept_doc_id", "key", "x", "y")
 
-
-def merged(spans: DataFrame) -> DataFrame:
-    """spans, with those of a document that overlap and repeat the same document made one; its class is that of the first."""
-    line = Window.partitionBy("doc_id", "kept_doc_id").orderBy("word_start", "word_end", "class_id")
-    before = F.max("word_end").over(line.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.coalesce(F.col("word_start") >= before, F.lit(True)).cast("int")
-    marked = spans.withColumn("new", new).withColumn("nth", F.sum("new").over(line))
-    one = marked.groupBy("doc_id", "kept_doc_id", "nth").agg(F.min("word_start").alias("word_start"), F.max("word_end").alias("word_end"), F.min(F.struct("word_start", "word_end", "class_id")).alias("first"))
-    return one.select("doc_id", "word_start", "word_end", "kept_doc_id", F.col("first.class_id").alias("class_id"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint32).reshape(len(b), -1) for k in ("x", "y"))
+            begin, end = similar_spans(x, y, least)
+            place = np.asarray(b.column("place")) - LEFT
+            out = pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("place"), pa.array((place + begin).astype(np.int32)), pa.array((place + end).astype(np.int32)), b.column("kept_doc_id"), b.column("key")], ["doc_id", "place", "word_start", "word_end", "kept_doc_id", "key"])
+            yield out.filter(pa.array(end > begin))
+
+    return both.mapInArrow(run, "doc_id long, place int, word_start int, word_end int, kept_doc_id long, key long")
+
+
+def similar_passages(open_: DataFrame, loose: DataFrame, least: int) -> tuple[DataFrame | None, list[str]]:
+    """Passages (doc_id, word_start, word_end, kept_doc_id, key) around loose places (doc_id, place, key) that are similar, not equal, to an
+    earlier document's; and paths to drop.
+
+    Places that share a key and a longer run meet. In rounds each is compared to two of its run's places, in an order that changes, and
+    to more in later rounds; a place that lies in a passage, or was compared to all of its run, takes no more part. This goes on until no two
+    places are left that weren't compared, all at once when few are. A family of similar texts thus costs as it grows;
+    only places that share a run of 21 words, and no paragraph, with very many others are compared to all of these."""
+    several = loose.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
+    wanted, wanted_path = saved(loose.join(several, "key", "left_semi").select("doc_id", "place").distinct(), "wanted")
+    around, around_path = saved(surroundings(open_, wanted), "around")
+    used, spark, found = [wanted_path, around_path], loose.sparkSession, None
+    rows = around.select("doc_id", "place", F.explode("runs").alias("run"))
+    at, anchors = 0, 2
+    while True:
+        groups = rows.groupBy("run").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").cast("double").alias("n")).where("low < high")
+        groups, path = saved(groups.select("run", "n"), "runs")
+        used.append(path)
+        n, pending = groups.agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()
+        if not n:
+            break
+        live, path = saved(rows.join(groups.select("run"), "run"), "live")
+        used.append(path)
+        final = pending <= LINEAR * n
+        if final:
+            ends = live.select("run", F.col("doc_id").alias("end_doc"), F.col("place").alias("end_place"))
+        else:
+            order = F.struct(F.xxhash64("doc_id", "place", F.lit(at)).alias("order"), F.col("doc_id").alias("end_doc"), F.col("place").alias("end_place"))
+            split = live.withColumn("part", F.pmod(F.xxhash64("doc_id", "place", F.lit(at + 1)), F.lit(anchors // 2)))
+            ends, path = saved(split.groupBy("run", "part").agg(F.min(order).alias("low"), F.max(order).alias("high")).select("run", F.explode(F.array("low", "high")).alias("end")).select("run", "end.end_doc", "end.end_place"), "ends")
+            used.append(path)
+        met = live.join(ends, "run").where(F.col("doc_id") != F.col("end_doc"))
+        later = F.col("doc_id") > F.col("end_doc")
+        one, two = F.struct("doc_id", "place"), F.struct(F.col("end_doc").alias("doc_id"), F.col("end_place").alias("place"))
+        pairs = met.select(F.when(later, one).otherwise(two).alias("own"), F.when(later, two).otherwise(one).alias("kept"))
+        pairs, path = saved(pairs.select("own.doc_id", "own.place", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.place").alias("kept_place")).distinct(), "pairs")
+        near, near_path = saved(verified(pairs, around, least), "similar")
+        drop_path(spark, path)
+        used.append(near_path)
+        found = near if found is None else found.union(near)
+        release(spark)
+        if final:
+            break
+        rows = live.join(near.select("doc_id", "place").distinct(), ["doc_id", "place"], "left_anti")
+        rows = rows.join(ends.select("run", F.col("end_doc").alias("doc_id"), F.col("end_place").alias("place")), ["run", "doc_id", "place"], "left_anti")
+        at, anchors = at + 2, anchors if at < 6 else anchors * 2
+    return found, used
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc_id, word_start, word_end, kept_doc_id, class_id: the passages that repeat one of a document of smaller doc_id, and
+    """doc_id, text_hash, word_start, word_end, kept_doc_id, class_id: the passages that repeat one of a document of smaller doc_id, and
     so may go; words are counted from 0 and end at ASCII white space, and A-Z counts as a-z.
 
-    Paragraphs are grouped: equal ones by a 64-bit hash, and those of few word edits by MinHash bands, a check of
-    the edits, and components. A group's first paragraph (smallest doc_id, then place) is kept, with its
-    document's others; class_id names the group. Paragraphs in a row on one diagonal of a pair of documents are a run, if of
-    the words between two of them no more than EDITS differ; it grows on both sides as far as the words agree, and is a passage if it has `least` words or more (50 at least, below
-    which the paragraphs guarantee nothing). Runs of `least` equal words that this misses, as their paragraphs come first in
-    another document or at another place, are found by hashes of the whole run: every such run of an earlier document is
-    covered, but for collisions of hashes.
+    Every run of `least` words (50 at least, below which the bands guarantee nothing) that an earlier document has is
+    covered, whatever the number of documents that have it: equal runs meet by a hash of the whole run. Beyond these, paragraphs
+    of 50 words whose 5-word shingles have a Jaccard similarity of 0.8 or more with an earlier document's are found by the
+    keys of their bands and verified; such a passage begins and ends with a shared shingle and has
+    `least` words or more. Words are compared by 32-bit hashes and runs by 64-bit ones. class_id names a cluster: passages that share a key, directly or by others, are of one.
 
-    Repeats within a document aren't passages. Rows that repeat a doc_id are one document; rows without doc_id, and
+    A text that equals an earlier document's is one passage, whole, of a class of its own; only the first of equal texts is
+    searched. Repeats within a document aren't passages. Rows that repeat a doc_id and its text are one document; of different texts of
+    a doc_id, the one of the least text_hash is searched, and text_hash tells which row a passage belongs to. Rows without doc_id, and
     null, empty or short texts, take no part. Other columns are not read; no rows: no rows.
-    Groups are minima, aggregated before the shuffle, and joined back, so that a passage in very many documents is
-    no task's group; a join's hot key can be split by AQE.
     """
     if least < LEAST:
         raise ValueError(f"least must be {LEAST} or more")
     spark = docs.sparkSession
-    rows = docs.where("doc_id is not null")
-    units, units_path = saved(paragraphs(rows), "paragraphs")
-    first = F.struct("doc_id", "place")
-    classes, classes_path = saved(units.groupBy("hash").agg(F.min(first).alias("first"), F.max("doc_id").alias("last"), F.min("signature").alias("signature")), "classes")
+    texts, texts_path = saved(banded(docs.where("doc_id is not null")), "texts")
+    reps, reps_path = saved(texts.groupBy("text_hash").agg(F.min("doc_id").alias("rep")), "reps")
+    copies = texts.select("doc_id", "text_hash", "n_words").join(reps, "text_hash").where("doc_id <> rep").distinct()
+    copies = copies.select("doc_id", "text_hash", F.lit(0).alias("word_start"), F.col("n_words").alias("word_end"), F.col("rep").alias("kept_doc_id"), F.col("text_hash").alias("class_id"))
+    copies, _ = saved(copies.where(F.col("n_words") >= least), "copies")
+    rows = texts.select("doc_id", "text_hash", F.explode("keys").alias("key"))
+    shared = rows.groupBy("key").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).where("low < high").select("key")
+    shared, shared_path = saved(shared, "shared")
     release(spark)
-    links, links_path = saved(near_links(classes), "near")
+    chosen = reps.groupBy(F.col("rep").alias("doc_id")).agg(F.min("text_hash").alias("text_hash"))
+    asked = rows.join(shared, "key").groupBy("doc_id", "text_hash").agg(F.collect_set("key").alias("keys"))
+    asked, asked_path = saved(asked.join(chosen, ["doc_id", "text_hash"], "left_semi"), "asked")
     release(spark)
-    group = connected_components(links)
-    linked = classes.select("hash", "first", "last").join(group, F.col("hash") == F.col("node"), "left").withColumn("class_id", F.coalesce("component", "hash"))
-    several = F.col("first.doc_id") != F.col("last")
-    # groups of one class need no second aggregation
-    in_links = links.select(F.explode(F.array("a", "b")).alias("hash")).distinct()
-    alone = classes.where(several).join(in_links, "hash", "left_anti").select("hash", F.col("hash").alias("class_id"), "first")
-    members = linked.join(in_links, "hash", "left_semi").select("hash", "class_id", "first", "last")
-    whole = members.groupBy("class_id").agg(F.min("first").alias("kept"), F.max("last").alias("last")).where(F.col("kept.doc_id") != F.col("last"))
-    repeated = alone.union(members.select("hash", "class_id").join(whole.select("class_id", "kept"), "class_id").select("hash", "class_id", "kept"))
-    seen = units.select("doc_id", "place", "hash", "again", "rest").join(repeated, "hash")
-    seen, seen_path = saved(seen.select("doc_id", "place", "hash", "again", "rest", "class_id", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.place").alias("kept_place")), "seen")
-    for path in (units_path, classes_path, links_path):
+    open_, open_path = saved(opened(texts.drop("keys").join(asked, ["doc_id", "text_hash"]), least), "open")
+    for path in (texts_path, reps_path, shared_path, asked_path):
         drop_path(spark, path)
     release(spark)
-    found = seen.where("kept_doc_id <> doc_id")
-    line = Window.partitionBy("doc_id", "kept_doc_id", F.col("place") - F.col("kept_place")).orderBy("place")
-    steps = found.select("doc_id", "place", "kept_doc_id", "kept_place", "class_id", F.lag("place").over(line).alias("prev"), F.lag("kept_place").over(line).alias("kept_prev"), F.lead("place").over(line).alias("next"))
-    steps, steps_path = saved(steps, "steps")
-    release(spark)
-    # the ends that runs have or get where they are split
-    open_ = steps.where("prev is null or next is null").union(steps.where((F.col("place") - F.col("prev") > UNIT) | (F.col("next") - F.col("place") > UNIT)))
-    around, around_path = saved(contexts(rows, open_.select("doc_id", "place").union(open_.select("kept_doc_id", "kept_place"))), "contexts")
+    islands, used = exact_islands(open_, least)
     release(spark)
-    gaps = steps.where((F.col("place") - F.col("prev")).between(UNIT + 1, WINDOW)).drop("class_id", "next")
-    broken, broken_path = saved(broken_steps(gaps, around), "broken")
-    at = ["doc_id", "place", "kept_doc_id", "kept_place"]
-    new = (F.coalesce(F.col("place") - F.col("prev") > WINDOW, F.lit(True)) | F.col("split").isNotNull()).cast("int")
-    marked = steps.join(broken.withColumn("split", F.lit(True)), at, "left").withColumn("new", new).withColumn("nth", F.sum("new").over(line))
-    low, high = F.struct("place", "kept_place", "class_id"), F.struct("place", "kept_place")
-    runs = marked.groupBy("doc_id", "kept_doc_id", (F.col("place") - F.col("kept_place")).alias("diagonal"), "nth").agg(F.min(low).alias("low"), F.max(high).alias("high"))
-    runs = runs.withColumn("run", F.xxhash64("kept_doc_id", "diagonal", "nth"))
-    runs, runs_path = saved(runs.drop("nth"), "runs")
+    equal = islands.where("kept_doc_id <> doc_id").withColumn("span", F.xxhash64("doc_id", "word_start", "word_end"))
+    held = open_.select("doc_id", F.explode(F.arrays_zip("places", "keys")).alias("p")).select("doc_id", F.col("p.places").alias("place"), F.col("p.keys").alias("key"))
+    inside = (F.col("place") >= F.col("word_start")) & (F.col("place") + UNIT <= F.col("word_end"))
+    spans = equal.select(F.col("doc_id").alias("span_doc"), "word_start", "word_end", "span")
+    held, held_path = saved(held.join(spans, (F.col("doc_id") == F.col("span_doc")) & inside, "left").select("doc_id", "place", "key", "span"), "held")
     release(spark)
-    side = lambda s, left: runs.select("doc_id", "run", F.col(f"{s}.place").alias("place"), "kept_doc_id", F.col(f"{s}.kept_place").alias("kept_place"), F.lit(left).alias("left"))
-    ends = side("low", True).union(side("high", False))
-    more = extensions(ends, around).groupBy("doc_id", "run").agg(F.max(F.when(F.col("left"), F.col("words"))).alias("lead"), F.max(F.when(~F.col("left"), F.col("words"))).alias("trail"))
-    out = runs.join(more, ["doc_id", "run"]).select("doc_id", (F.col("low.place") - F.col("lead")).alias("word_start"), (F.col("high.place") + UNIT + F.col("trail")).alias("word_end"), "kept_doc_id", F.col("low.class_id").alias("class_id"))
-    out, _ = saved(out.where(F.col("word_end") - F.col("word_start") >= least), "passages")
-    for path in (steps_path, broken_path, runs_path, around_path):
+    similar, paths = similar_passages(open_, held.where("span is null").select("doc_id", "place", "key"), least)
+    used += [open_path, held_path, *paths]
+    heads = held.where("span is not null").groupBy("doc_id", "span").agg(F.min("key").alias("head"))
+    links = held.where("span is not null").join(heads, ["doc_id", "span"]).select(F.col("head").alias("a"), F.col("key").alias("b")).distinct()
+    found = equal.join(heads, ["doc_id", "span"]).select("doc_id", "word_start", "word_end", "kept_doc_id", "head")
+    if similar is not None:
+        found = found.union(similar.groupBy("doc_id", "word_start", "word_end", "kept_doc_id").agg(F.min("key").alias("head")))
+    classes = connected_components(links)
+    named = found.join(classes, F.col("head") == F.col("node"), "left").withColumn("class_id", F.coalesce("component", "head"))
+    named = named.join(open_.select("doc_id", "text_hash").distinct(), "doc_id")
+    out, _ = saved(named.select("doc_id", "text_hash", "word_start", "word_end", "kept_doc_id", "class_id"), "passages")
+    for path in used:
         drop_path(spark, path)
     release(spark)
-    later, paths = later_passages(rows, seen, out, least)
-    later, _ = saved(later, "later")
-    for path in (seen_path, *paths):
-        drop_path(spark, path)
-    release(spark)
-    return merged(out.union(later))
+    return out.union(copies)
 
 
 def _cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -329,32 +354,44 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def without_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs without these passages, n_chars counted anew; a document of which no word is left goes. Documents without
-    passages stay as they are, and so do rows without doc_id. Columns of docs: doc_id, text, n_chars and any more."""
-    cuts = spans.groupBy("doc_id").agg(F.collect_set(F.struct("word_start", "word_end")).alias("passage_cuts"))
-    rows = docs.join(cuts.withColumnRenamed("doc_id", "passage_doc"), F.col("doc_id") == F.col("passage_doc"), "left").drop("passage_doc")
+    """docs without these passages, n_chars counted anew where the column is there; a document of which no word is left goes. Documents without
+    passages stay as they are, null and empty texts too, and so do rows without doc_id; of rows that repeat a doc_id, only those of
+    a passage's text_hash are cut. Columns of docs: doc_id, text and any more, which are kept."""
+    cuts, owner = unused_name(docs, "cuts"), unused_name(docs, "owner")
+    asked = spans.groupBy(F.col("doc_id").alias(owner)).agg(F.collect_set(F.struct("text_hash", "word_start", "word_end")).alias(cuts))
+    rows = docs.join(asked, F.col("doc_id") == F.col(owner), "left")
     names = docs.columns
-    at, count = names.index("text"), names.index("n_chars")
+    at, count = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cuts = b.column(b.num_columns - 1).to_pylist()
-            if not any(cuts):
+            asked = b.column(b.num_columns - 1)
+            if asked.null_count == len(asked):
                 yield b.select(names)
                 continue
-            texts, sizes = b.column(at).to_pylist(), b.column(count).to_pylist()
+            texts = b.column(at).to_pylist()
+            sizes = b.column(count).to_pylist() if count is not None else None
             keep = np.ones(len(b), bool)
-            for k, spans in enumerate(cuts):
-                if spans and texts[k]:
-                    texts[k] = _cut(texts[k], [(s["word_start"], s["word_end"]) for s in spans])
-                    sizes[k] = len(texts[k])
+            for k in np.flatnonzero(np.asarray(asked.is_valid())):
+                if not texts[k]:
+                    continue
+                data = np.frombuffer(texts[k].encode(), np.uint8)
+                own = int(text_keys(data, np.array([0, len(data)]))[0].view(np.int64)[0])
+                spans = [(s["word_start"], s["word_end"]) for s in asked[k].as_py() if s["text_hash"] == own]
+                if spans:
+                    texts[k] = _cut(texts[k], spans)
                     keep[k] = bool(texts[k].strip(" \t\n\v\f\r"))
+                    if sizes:
+                        sizes[k] = len(texts[k])
             columns = list(b.columns[:-1])
-            columns[at], columns[count] = pa.array(texts, b.schema.field(at).type), pa.array(sizes, b.schema.field(count).type)
+            columns[at] = pa.array(texts, b.schema.field(at).type)
+            if sizes:
+                columns[count] = pa.array(sizes, b.schema.field(count).type)
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
 
-    return rows.select(*names, "passage_cuts").mapInArrow(run, docs.schema)
+    return rows.select(*names, cuts).mapInArrow(run, docs.schema)
 
 
 def op3_passages(spark, sf_dir: str) -> DataFrame:
+    """The repeated passages of all documents; see repeated_passages()."""
     return repeated_passages(table(spark, sf_dir, "documents"))

@@ -53,6 +53,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tuned(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused_name(df: DataFrame, name: str) -> str:
+    """name, lengthened until no column of df has it."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of plans that are no longer held, which else stay until the
     driver happens to collect garbage."""
