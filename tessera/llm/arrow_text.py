@@ -86,6 +86,15 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((total[ends] - total[starts]) * inverse[starts])
 
 
+def row_hashes(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of each row's words in their order, and where its words begin and how many they are."""
+    count = np.bincount(row, minlength=rows)
+    first = np.append(0, np.cumsum(count))[:-1]
+    place = (np.arange(len(h)) - first[row]).astype(np.uint64)
+    total = np.append(np.uint64(0), np.cumsum(mix(h + place * np.uint64(_BASE))))
+    return mix(total[first + count] - total[first] + count.astype(np.uint64)), first, count
+
+
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of runs of n items of h, by doubling."""
     if len(h) < n:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow_text import chunks, gram_hashes, mix, sliding, word_hashes, words
+from tessera.llm.arrow_text import chunks, gram_hashes, mix, row_hashes, sliding, word_hashes, words
 from tessera.llm.components import connected_components
 from tessera.llm.scratch import drop_path, release, saved, table, unused_name
 
@@ -62,11 +62,7 @@ def text_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of rows of text: each one's hash, words, and words' hashes; and (row, key) of its distinct keys."""
     starts, ends, row = words(data, offsets)
     h = word_hashes(data, starts, ends)
-    count = np.bincount(row, minlength=len(offsets) - 1)
-    first = np.append(0, np.cumsum(count))[:-1]
-    place = (np.arange(len(h)) - first[row]).astype(np.uint64)
-    total = np.append(np.uint64(0), np.cumsum(mix(h + place * np.uint64(0x9E3779B97F4A7C15))))
-    whole = mix(total[first + count] - total[first] + count.astype(np.uint64))
+    whole, _, count = row_hashes(h, row, len(offsets) - 1)
     w = np.maximum(h >> np.uint64(32), np.uint64(1)).astype(np.uint32)
     at = places(w.astype(np.uint64), row)
     keys, owner = gram_hashes(w.astype(np.uint64), UNIT)[at], row[at]
