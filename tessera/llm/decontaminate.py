@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.arrow_text import chunks, codepoints, gram_hashes
-from tessera.llm.scratch import table
+from tessera.llm.scratch import saved, table
 
 Q = 10
 #: Edits that a passage may have, as a share of the item's normalised characters.
@@ -159,19 +159,26 @@ def align(item: np.ndarray, region: np.ndarray, width: int) -> tuple[int, int]:
 
 def leaks(text: np.ndarray, index: Index, q: int = Q) -> list[tuple[int, int, int, int]]:
     """(item, start, end, edits) of the verified occurrences, positions in the normalised text; of overlapping
-    ones of an item, the one of fewest edits."""
+    ones of an item, the one of fewest edits. A band may hold the hits of several rows, but each row is aligned by itself."""
     found: dict[int, list] = {}
+    marks = np.flatnonzero(text == BETWEEN)
     for i, diagonal in bands(text, index, q):
         item, k = index.items[i], int(index.edits[i])
-        a = max(0, diagonal - k)
-        region = text[a : max(0, diagonal + 2 * (k + 1) + k + len(item))]
-        edits, end = align(item, region, 2 * (k + 1) + 2 * k + 1)
-        if edits > k:
-            continue
-        part = region[:end][::-1]
-        back, size = align(item[::-1], part[: len(item) + k], k + 1)
-        start = end - size if back <= edits else max(0, end - len(item))
-        found.setdefault(i, []).append((edits, a + start, a + end))
+        low, high = max(0, diagonal - k), min(len(text), max(0, diagonal + 2 * (k + 1) + k + len(item)))
+        begins = diagonal + 2 * (k + 1) + k  # the last place at which an occurrence may begin
+        inside = marks[np.searchsorted(marks, low) : np.searchsorted(marks, high)]
+        for a, b in zip([low, *(inside + 1).tolist()], [*inside.tolist(), high], strict=True):
+            width = begins - a + 1
+            if width < 1 or b - a < len(item) - k:
+                continue
+            region = text[a:b]
+            edits, end = align(item, region, width)
+            if edits > k:
+                continue
+            part = region[:end][::-1]
+            back, size = align(item[::-1], part[: len(item) + k], k + 1)
+            start = end - size if back <= edits else max(0, end - len(item))
+            found.setdefault(i, []).append((edits, a + start, a + end))
     out = []
     for i, all_ in found.items():
         kept: list = []
@@ -194,12 +201,13 @@ def scan(column: pa.Array, index: Index, q: int = Q) -> Iterator[tuple[int, int,
             yield lo + row, i, int(where[a] - off[row]), int(where[b - 1] + 1 - off[row]), edits
 
 
-def indexes(benchmark: DataFrame, q: int = Q, share: float = EDITS, most: int = INDEX_CHARS) -> list[Index]:
-    """Indexes that each hold about `most` characters of the benchmark, one for each pass over the documents."""
-    rows = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+def indexes(benchmark: DataFrame, q: int = Q, share: float = EDITS, most: int = INDEX_CHARS) -> tuple[int, Iterator[Index]]:
+    """How many indexes of about `most` characters hold the benchmark, and these, of which one is in the driver at a time. Rows
+    that repeat an item's id and text are one item."""
+    rows = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     parts = max(1, -(-int(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // most))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
-    return [build([tuple(r) for r in rows.where(part == k).orderBy("item_id", "text").collect()], q, share) for k in range(parts)]
+    return parts, (build([tuple(r) for r in rows.where(part == k).orderBy("item_id", "text").collect()], q, share) for k in range(parts))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: float = EDITS, most: int = INDEX_CHARS) -> DataFrame:
@@ -208,13 +216,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: float =
     Both are normalised to lower-case letters and digits with single spaces between; start and end are code points of the
     text as it is. An item of fewer than q normalised characters takes no part; one of over PART_CHARS occurs where
     one of its parts does. Null and empty texts match nothing.
-    Rows of repeated documents and repeated items each give their rows; a doc_id may be null; other columns are not read; no
+    An occurrence lies within one document, whatever documents are read with it. Rows of repeated documents each give their rows, rows that repeat an item are one; a doc_id may be null; other columns are not read; no
     rows: no rows. Documents are not shuffled; an index of the benchmark has a bounded size and is broadcast,
-    and a benchmark beyond it takes a pass over the documents for each index.
+    and a benchmark beyond it takes a pass over the documents for each index, written before the next is built.
     """
     text, out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), None
-    for index in indexes(benchmark, q, share, most):
+    parts, found = indexes(benchmark, q, share, most)
+    for index in found:
         sent = docs.sparkSession.sparkContext.broadcast(index)
+        del index
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -224,14 +234,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: float =
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array([sent.value.ids[i] for i in item], pa.int64()), *(pa.array(x, pa.int64()) for x in rest)], ["doc_id", "item_id", "start", "end", "edits"])
 
         part = text.mapInArrow(run, OUT)
+        if parts > 1:
+            part, _ = saved(part, "leaks")
+            sent.destroy()
         out = part if out is None else out.union(part)
     return out
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: float = EDITS, most: int = INDEX_CHARS) -> DataFrame:
-    """Rows of docs, all their columns, in which no item occurs; decided where the row is."""
-    for index in indexes(benchmark, q, share, most):
+    """Rows of docs, all their columns, in which no item occurs; decided where the row is. Null and empty texts, and rows without
+    doc_id, stay as others do; repeated rows stay or go alike. A benchmark beyond one index takes a pass for each, written before the next."""
+    parts, found = indexes(benchmark, q, share, most)
+    for index in found:
         sent = docs.sparkSession.sparkContext.broadcast(index)
+        del index
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -241,8 +257,12 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: float
                 yield b.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if parts > 1:
+            docs, _ = saved(docs, "clean")
+            sent.destroy()
     return docs
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """Where items of the benchmark occur in documents; see find_leaks()."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
