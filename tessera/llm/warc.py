@@ -21,6 +21,8 @@ MAGIC = b"\x1f\x8b\x08"
 LEVEL = 6
 #: Bytes of a file after which the next one is begun, of a range that one task scans, and of one read.
 FILE_BYTES, SPLIT_BYTES, READ_BYTES = 1 << 30, 8 << 20, 1 << 18
+#: Tasks of a read at most; each then has several ranges.
+MOST_TASKS = 100_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "path string, bytes long, records long"
@@ -160,7 +162,10 @@ def parse_record(data: bytes) -> dict:
 
 def read_warc(manifest: DataFrame, split: int = SPLIT_BYTES) -> DataFrame:
     """The records of the files that a manifest (path, bytes) names, however many tasks share a file. A range that
-    begins within a record skips it; a record belongs to the range that its first byte is in."""
+    begins within a record skips it; a record belongs to the range that its first byte is in. Ranges are dealt out evenly to a
+    task each, up to MOST_TASKS of them; the number is given, as AQE would join tasks whose input is a few bytes of range. A file of no bytes has no record; no rows: no
+    rows; other columns of the manifest are not read."""
+    tasks = manifest.agg(F.sum(F.ceil(F.col("bytes") / split))).first()[0]
     ranges = manifest.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split).cast("long"))).alias("start")).select("path", "start", F.least(F.col("start") + split, "bytes").alias("end"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,10 +184,12 @@ def read_warc(manifest: DataFrame, split: int = SPLIT_BYTES) -> DataFrame:
                     if held:
                         yield pa.RecordBatch.from_pylist(held, schema)
 
-    return ranges.repartition("path", "start").mapInArrow(run, RECORD)
+    return ranges.repartition(max(1, min(int(tasks or 0), MOST_TASKS))).mapInArrow(run, RECORD)
 
 
 def op2_warc(spark, sf_dir: str) -> DataFrame:
+    """Pages written as WARC and read back: of equal payloads, that of the smallest page_id is the response. Null html is an empty payload;
+    rows that repeat a page_id give as many records; a null page_id is a response; no rows: no rows."""
     manifest = write_warc(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
     return read_warc(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
