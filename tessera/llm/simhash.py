@@ -137,18 +137,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2, cell: int
     rows, path = saved(fingerprints(docs, shingle), "fingerprints")
     points, _ = saved(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "points")
     links = hamming_links(points, bits, cell)
-    one = points.select(F.col("fingerprint").alias("a"), F.col("first").alias("first_a"))
-    two = points.select(F.col("fingerprint").alias("b"), F.col("first").alias("first_b"))
-    # repeated doc_ids: a first that stands for several fingerprints joins them, as the nodes are doc_ids
-    again = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("fingerprint").alias("a"), F.max("fingerprint").alias("b"), F.count("*").alias("n")).where("n > 1 and a < b").select("doc_id", "a", "b")
-    more = rows.join(again.select("doc_id", "a"), "doc_id").where("a <> fingerprint").select("a", F.col("fingerprint").alias("b"))
-    ends = links.select("a", "b").union(more.select("a", "b")).join(one, "a").join(two, "b")
-    edges = ends.select(F.col("first_a").alias("a"), F.col("first_b").alias("b")).where("a is not null and b is not null")
-    found = connected_components(edges)
-    named = points.join(found, points["first"] == found["node"], "left").select("fingerprint", F.coalesce("component", "first").alias("component_id"))
-    out = rows.join(named, "fingerprint", "left")
+    # nodes are fingerprints, so one that only rows without doc_id have still links others; repeated doc_ids join theirs
+    again = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("fingerprint").alias("a"), F.max("fingerprint").alias("b")).where("a < b").select("doc_id", "a")
+    more = rows.join(again, "doc_id").where("a <> fingerprint").select("a", F.col("fingerprint").alias("b"))
+    found = connected_components(links.union(more))
+    named = points.join(found, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "first", F.coalesce("component", "fingerprint").alias("group"))
+    named, _ = saved(named, "named")
+    ids = named.groupBy("group").agg(F.min("first").alias("component_id"))
+    out = rows.join(named.join(ids, "group").select("fingerprint", "component_id"), "fingerprint")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprints and groups of all documents; see near_duplicates()."""
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, bits=2)
