@@ -143,7 +143,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2, cell: int
     found = connected_components(links.union(more))
     named = points.join(found, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "first", F.coalesce("component", "fingerprint").alias("group"))
     named, _ = saved(named, "named")
-    ids = named.groupBy("group").agg(F.min("first").alias("component_id"))
+    ids, _ = saved(named.groupBy("group").agg(F.min("first").alias("component_id")), "ids")
     out = rows.join(named.join(ids, "group").select("fingerprint", "component_id"), "fingerprint")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
