@@ -22,8 +22,8 @@ SWITCH = 8.0
 #: A language may be written in scripts that make at least this share of its letters.
 SCRIPT_SHARE = 0.005
 UNKNOWN = "und"
-#: Words whose paths are found together.
-POOL = 1 << 21
+#: Scores (words x languages) whose paths are found together, and scores of letters that are added up at once; a text is never parted.
+POOL, LETTERS = 1 << 23, 1 << 22
 
 # First and last code points of scripts, as Unicode's blocks have them.
 SCRIPTS = (
@@ -176,17 +176,33 @@ def best_paths(scores: np.ndarray, first: np.ndarray, count: np.ndarray, switch:
     return out
 
 
-def label(column: pa.Array, model: Model, switch: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For runs of rows: (rows, row of each word, start, end, letters, language or -1), positions in code points of the row."""
+def word_scores(bucket: np.ndarray, at: np.ndarray, logp: np.ndarray) -> np.ndarray:
+    """Sums of the letters' scores of each word (words x languages), in blocks of words. at: first letters."""
+    out = np.empty((len(at), logp.shape[1]), np.float32)
+    step, lo = max(1, LETTERS // logp.shape[1]), 0
+    while lo < len(at):
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + step)))
+        end = at[hi] if hi < len(at) else len(bucket)
+        out[lo:hi] = np.add.reduceat(logp[bucket[at[lo] : end]], at[lo:hi] - at[lo], axis=0)
+        lo = hi
+    return out
+
+
+def label(column: pa.Array, model: Model, switch: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of rows: (rows, row of each word, start, end, letters, scores, whether a language was learned in the word's script, whether the
+    word is labelled), positions in code points of the row. All languages compete for the words of a row that has none in a known script."""
     for lo, hi, data, offsets in chunks(column):
         cp, off = codepoints(data, offsets)
         where, script, begins = letters(cp, off)
         at = np.flatnonzero(begins)
         ends = np.append(at[1:], len(where))[: len(at)]
         row = np.searchsorted(off, where[at], "right") - 1
-        s = np.add.reduceat(model.logp[buckets(cp, where, begins)], at, axis=0) if len(at) else np.zeros((0, len(model.languages)), np.float32)
+        s = word_scores(buckets(cp, where, begins), at, model.logp)
         able = model.allowed[script[at]]
-        yield hi - lo, row, where[at] - off[row], where[ends - 1] + 1 - off[row], ends - at, np.where(able, s, np.float32(-1e9)), able.any(axis=1)
+        known = able.any(axis=1)
+        used = known | (np.bincount(row, known, hi - lo) == 0)[row]
+        s[known] = np.where(able[known], s[known], np.float32(-1e9))
+        yield hi - lo, row, where[at] - off[row], where[ends - 1] + 1 - off[row], ends - at, s, known, used
 
 
 def identify_batches(batches: Iterator[pa.RecordBatch], text: str, model: Model, switch: float = SWITCH) -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -196,21 +212,21 @@ def identify_batches(batches: Iterator[pa.RecordBatch], text: str, model: Model,
 
     def solve() -> Iterator[tuple[pa.RecordBatch, list]]:
         parts = [p for _, ps in held for p in ps]
-        able = np.concatenate([p[6] for p in parts])
-        scores = np.concatenate([p[5] for p in parts])[able]
+        known, used = (np.concatenate([p[k] for p in parts]) for k in (6, 7))
+        scores = np.concatenate([p[5] for p in parts])[used]
         shift = np.cumsum([0, *(p[0] for p in parts)])
         rows = np.concatenate([p[1] + k for p, k in zip(parts, shift[:-1], strict=True)])
-        used = rows[able]
-        first = np.searchsorted(used, np.arange(shift[-1]))
-        count = np.diff(np.append(first, len(used)))
+        first = np.searchsorted(rows[used], np.arange(shift[-1]))
+        count = np.diff(np.append(first, used.sum()))
         path = np.full(len(rows), -1, np.int16)
-        path[able] = best_paths(scores, first, count, switch)
+        path[used] = best_paths(scores, first, count, switch)
         start, end, size = (np.concatenate([p[k] for p in parts]) for k in (2, 3, 4))
         n = len(model.languages)
         total = np.bincount(rows, size, shift[-1])
-        by = np.bincount(rows[able] * n + path[able], size[able], shift[-1] * n).reshape(-1, n)
+        by = np.bincount(rows[used] * n + path[used], size[used], shift[-1] * n).reshape(-1, n)
         top = by.argmax(axis=1)
-        most = by[np.arange(len(top)), top]
+        most = np.where(np.bincount(rows, known, shift[-1]) > 0, by[np.arange(len(top)), top], 0)
+        path[~known] = -1
         new = np.ones(len(rows), bool)
         new[1:] = (rows[1:] != rows[:-1]) | (path[1:] != path[:-1])
         k = np.flatnonzero(new)
@@ -218,7 +234,7 @@ def identify_batches(batches: Iterator[pa.RecordBatch], text: str, model: Model,
         spans: list[list] = [[] for _ in range(shift[-1])]
         for r, a, b, x in zip(rows[k].tolist(), start[k].tolist(), end[stop].tolist(), path[k].tolist(), strict=True):
             spans[r].append({"start": a, "end": b, "lang": model.languages[x] if x >= 0 else UNKNOWN})
-        found = [(model.languages[x], float(m / t), s) if m else (UNKNOWN, 0.0, s) for x, m, t, s in zip(top.tolist(), most.tolist(), total.tolist(), spans, strict=True)]
+        found = [(model.languages[x], float(m / t), s) if t else (UNKNOWN, 0.0, s) for x, m, t, s in zip(top.tolist(), most.tolist(), total.tolist(), spans, strict=True)]
         at = 0
         for b, _ in held:
             yield b, found[at : at + len(b)]
@@ -229,7 +245,7 @@ def identify_batches(batches: Iterator[pa.RecordBatch], text: str, model: Model,
             continue
         parts = list(label(b.column(b.schema.get_field_index(text)), model, switch))
         held.append((b, parts))
-        words += sum(len(p[1]) for p in parts)
+        words += sum(p[5].size for p in parts)
         if words >= POOL:
             yield from solve()
             held, words = [], 0
@@ -251,8 +267,8 @@ def predict(docs: DataFrame, model: Model | None, switch: float = SWITCH) -> Dat
     gets the sum of logarithms of its letter trigrams' probabilities, and Viterbi finds the labels of a text's words
     with a penalty for every change. spans are runs of one label (code points); a word in a script that was never
     learned is `und`. lang_pred is the language of most letters, the first by name in a tie; score is its share of all letters.
-    A text that is null or has no letter, or none of a known script, is `und` with score 0. Repeated rows each give
-    a row; other columns are not read; no rows: no rows.
+    A text that is null or has no letter is `und` with score 0. For a text with letters of none but scripts that were never learned, all languages compete: lang_pred is the best of
+    them, with score 0. Repeated rows each give a row; other columns are not read; no rows: no rows. Without a model all are `und`.
     """
     text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     if model is None:
@@ -269,9 +285,11 @@ def predict(docs: DataFrame, model: Model | None, switch: float = SWITCH) -> Dat
 
 
 def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
-    """Rows of docs, all their columns, whose language is known with at least this score; decided where the row is."""
+    """Rows of docs, all their columns, whose language is known with at least this score; decided where the row is. Null and empty texts, and those without a letter
+    of a learned script, go; rows without doc_id, and repeated rows, are judged as others are. Without a model (no labelled text) no language is
+    known, so nothing is judged and all rows stay. No rows: no rows."""
     if model is None:
-        return docs.limit(0)
+        return docs
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,6 +300,7 @@ def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.5) ->
 
 
 def op10_langid(spark, sf_dir: str) -> DataFrame:
+    """The language of every document, by a model of those that aren't held out; see predict(). A null doc_id is not held out."""
     docs = table(spark, sf_dir, "documents")
     model = learn(docs.where(~held_out(F.col("doc_id"))))
     found = predict(docs, model)
