@@ -8,8 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch; texts are long, and a batch is held whole by the JVM and by Python.
-ARROW_ROWS = 512
+#: Rows and bytes of an Arrow batch; texts are long, and a batch is held whole by the JVM and by Python.
+ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,10 +42,14 @@ def saved(df: DataFrame, label: str) -> tuple[DataFrame, str]:
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Bounds the rows of an Arrow batch for this session, unless the session already has a smaller bound."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Bounds the rows and bytes of an Arrow batch for this session, unless the session already has a smaller bound. A text longer than the
+    bound is a batch of its own."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows, "10000")) <= ARROW_ROWS:
+        spark.conf.set(rows, str(ARROW_ROWS))
+    held = spark.conf.get(size, "-1").rstrip("b")
+    if not held.isdigit() or not 0 < int(held) <= ARROW_BYTES:
+        spark.conf.set(size, str(ARROW_BYTES))
     return spark
 
 
