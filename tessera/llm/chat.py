@@ -179,7 +179,7 @@ def format_chat(turns: DataFrame) -> DataFrame:
         return step
 
     schema = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("formatted", pa.string()), ("at", pa.int64()), ("mask_start", pa.int64()), ("mask_end", pa.int64())])
-    return _streamed(turns.where("layout is not null").select("conv_id", "turn", "role", "text"), ("turn", "role", "text"), state, FORMATTED, schema)
+    return _streamed(turns.where("layout is not null").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")), ("turn", "role", "text"), state, FORMATTED, schema)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -221,6 +221,7 @@ PROBE = f"{END}{START}assistant ok"
 
 
 def op7_chat(spark, sf_dir: str) -> DataFrame:
+    """All conversations and a probe of control strings, formatted and read back. Null turns come first, null texts and roles are empty; no rows: the probe alone."""
     rows = table(spark, sf_dir, "conversations")
     record = F.to_json(F.struct("conv_id", "turn", "role", "text"), {"ignoreNullFields": "false"})
     probe = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.to_json(F.struct(F.lit(-1).alias("conv_id"), F.lit(PROBE).alias("prompt"), F.lit(PROBE).alias("response"))).alias("record"))
@@ -232,9 +233,9 @@ OP7_SQL = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
 e AS (SELECT *, 24 + length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\1\\|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) AS n FROM t)
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(n) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """

@@ -47,7 +47,7 @@ def tuned(spark: SparkSession) -> SparkSession:
     rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < int(spark.conf.get(rows, "10000")) <= ARROW_ROWS:
         spark.conf.set(rows, str(ARROW_ROWS))
-    held = spark.conf.get(size, "-1").rstrip("b")
+    held = spark.conf.get(size).rstrip("b")
     if not held.isdigit() or not 0 < int(held) <= ARROW_BYTES:
         spark.conf.set(size, str(ARROW_BYTES))
     return spark

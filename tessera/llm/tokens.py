@@ -101,4 +101,5 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, pattern: str |
 
 
 def op6_tokens(spark, sf_dir: str) -> DataFrame:
+    """Token counts of the lines of all documents; see token_counts()."""
     return token_counts(table(spark, sf_dir, "documents"))
