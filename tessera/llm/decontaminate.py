@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.arrow_text import chunks, codepoints, gram_hashes
-from tessera.llm.scratch import saved, table
+from tessera.llm.scratch import map_batches, saved, table
 
 Q = 10
 #: Edits that a passage may have, as a share of the item's normalised characters.
@@ -171,13 +171,15 @@ def leaks(text: np.ndarray, index: Index, q: int = Q) -> list[tuple[int, int, in
             width = begins - a + 1
             if width < 1 or b - a < len(item) - k:
                 continue
-            region = text[a:b]
-            edits, end = align(item, region, width)
-            if edits > k:
+            # k places that match nothing come first, so that an occurrence may begin where the row does and lack characters
+            region = np.concatenate([np.full(k, BETWEEN, np.uint32), text[a:b]])
+            edits, end = align(item, region, width + k)
+            end -= k
+            if edits > k or end < 1:
                 continue
-            part = region[:end][::-1]
-            back, size = align(item[::-1], part[: len(item) + k], k + 1)
-            start = end - size if back <= edits else max(0, end - len(item))
+            part = np.concatenate([np.full(k, BETWEEN, np.uint32), text[a : a + end][::-1][: len(item) + k]])
+            back, size = align(item[::-1], part, 2 * k + 1)
+            start = max(0, end - (size - k)) if back <= edits else max(0, end - len(item))
             found.setdefault(i, []).append((edits, a + start, a + end))
     out = []
     for i, all_ in found.items():
@@ -244,7 +246,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: float =
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: float = EDITS, most: int = INDEX_CHARS) -> DataFrame:
     """Rows of docs, all their columns, in which no item occurs; decided where the row is. Null and empty texts, and rows without
     doc_id, stay as others do; repeated rows stay or go alike. A benchmark beyond one index takes a pass for each, written before the next."""
-    parts, found = indexes(benchmark, q, share, most)
+    at, (parts, found) = docs.columns.index("text"), indexes(benchmark, q, share, most)
     for index in found:
         sent = docs.sparkSession.sparkContext.broadcast(index)
         del index
@@ -252,11 +254,11 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: float
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 clean = np.ones(len(b), bool)
-                for row, *_ in scan(b.column(b.schema.get_field_index("text")), sent.value, q):
+                for row, *_ in scan(b.column(at), sent.value, q):
                     clean[row] = False
                 yield b.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_batches(docs, run)
         if parts > 1:
             docs, _ = saved(docs, "clean")
             sent.destroy()

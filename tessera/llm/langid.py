@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.arrow_text import chunks, codepoints
-from tessera.llm.scratch import table
+from tessera.llm.scratch import map_batches, table
 
 #: Documents of each language that are learned from, on average over hashes; languages at most.
 TRAIN_DOCS, MOST_LANGUAGES = 1500, 256
@@ -205,7 +205,7 @@ def label(column: pa.Array, model: Model, switch: float) -> Iterator[tuple[int,
         yield hi - lo, row, where[at] - off[row], where[ends - 1] + 1 - off[row], ends - at, s, known, used
 
 
-def identify_batches(batches: Iterator[pa.RecordBatch], text: str, model: Model, switch: float = SWITCH) -> Iterator[tuple[pa.RecordBatch, list]]:
+def identify_batches(batches: Iterator[pa.RecordBatch], text: int, model: Model, switch: float = SWITCH) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Each batch with (language, score, spans) of its rows; paths are found for pools of batches."""
     held: list[tuple[pa.RecordBatch, list]] = []
     words = 0
@@ -243,7 +243,7 @@ def identify_batches(batches: Iterator[pa.RecordBatch], text: str, model: Model,
     for b in batches:
         if not len(b):
             continue
-        parts = list(label(b.column(b.schema.get_field_index(text)), model, switch))
+        parts = list(label(b.column(text), model, switch))
         held.append((b, parts))
         words += sum(p[5].size for p in parts)
         if words >= POOL:
@@ -277,7 +277,7 @@ def predict(docs: DataFrame, model: Model | None, switch: float = SWITCH) -> Dat
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, found in identify_batches(batches, "text", sent.value, switch):
+        for b, found in identify_batches(batches, 1, sent.value, switch):
             lang, score, spans = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang), pa.array(score, pa.float64()), pa.array(spans, kind)], ["doc_id", "lang_pred", "score", "spans"])
 
@@ -290,13 +290,13 @@ def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.5) ->
     known, so nothing is judged and all rows stay. No rows: no rows."""
     if model is None:
         return docs
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at, sent = docs.columns.index("text"), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, found in identify_batches(batches, "text", sent.value):
+        for b, found in identify_batches(batches, at, sent.value):
             yield b.filter(pa.array([lang != UNKNOWN and score >= least for lang, score, _ in found]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run)
 
 
 def op10_langid(spark, sf_dir: str) -> DataFrame:

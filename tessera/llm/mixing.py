@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.scratch import saved, table
+from tessera.llm.scratch import columns_of, saved, table
 
 SEED = 17
 TEMPERATURE = 0.5
@@ -68,7 +68,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, tempera
     rates, _ = saved(source_rates(docs, weights, temperature, total), "rates")
     kept = [c for c in docs.columns if c not in OWN]
     # the input is one column, so that none of its names can clash
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").alias("source"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("name"))
+    rows = docs.select(F.struct(*columns_of(docs)).alias("row"), F.col("source").alias("source"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("name"))
     rows = rows.join(rates, F.col("source").eqNullSafe(F.col("mix_source")))
     name = F.concat(F.lit(f"{seed}:"), F.col("name"))
     # cumulative probabilities ascend, so those at or below the uniform number come first

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.arrow_text import chunks, gram_hashes, mix, row_hashes, sliding, word_hashes, words
 from tessera.llm.components import connected_components
-from tessera.llm.scratch import drop_path, release, saved, table, unused_name
+from tessera.llm.scratch import columns_of, drop_path, map_batches, release, saved, table, unused_name
 
 #: Words of a paragraph and of a shingle; shingles of a band; words of a key. 24 = 13 + 12 - 1 equal words share a key.
 LEAST, GRAM, BAND, UNIT = 50, 5, 13, 12
@@ -363,7 +363,7 @@ def without_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:
         for b in batches:
             asked = b.column(b.num_columns - 1)
             if asked.null_count == len(asked):
-                yield b.select(names)
+                yield b.select(range(len(names)))
                 continue
             texts = b.column(at).to_pylist()
             sizes = b.column(count).to_pylist() if count is not None else None
@@ -383,9 +383,9 @@ def without_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:
             columns[at] = pa.array(texts, b.schema.field(at).type)
             if sizes:
                 columns[count] = pa.array(sizes, b.schema.field(count).type)
-            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1]).filter(pa.array(keep))
 
-    return rows.select(*names, cuts).mapInArrow(run, docs.schema)
+    return map_batches(rows.select(*columns_of(docs), cuts), run, (cuts,))
 
 
 def op3_passages(spark, sf_dir: str) -> DataFrame:

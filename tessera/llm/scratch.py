@@ -6,7 +6,9 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows and bytes of an Arrow batch; texts are long, and a batch is held whole by the JVM and by Python.
 ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
@@ -65,6 +67,19 @@ def unused_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns of df, whatever their names."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
+def map_batches(df: DataFrame, run, extra: tuple[str, ...] = ()) -> DataFrame:
+    """df.mapInArrow(run) with the columns of df but the extra ones, which come last and which run takes away. Columns go by their places, as
+    names may clash or hold points."""
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    kept = df.columns[: len(df.columns) - len(extra)]
+    return plain.mapInArrow(run, StructType(plain.schema.fields[: len(kept)])).toDF(*kept)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of plans that are no longer held, which else stay until the
     driver happens to collect garbage."""
