@@ -30,8 +30,8 @@ RUN, SHIFTS = 21, (0, 3, 6, 9)
 SLIP = 5
 #: Words that are worked on at once.
 BLOCK = 1 << 20
-#: Once the pairs that are left are no more than this many for each row, all are compared.
-LINEAR = 8
+#: Documents of a longer run up to which all pairs are compared, and with how many of a run's places those of a larger one are, in parts of two.
+ALL, PARTS = 8, 4
 LEFT, RIGHT = LEAST - UNIT, LEAST
 
 
@@ -147,29 +147,45 @@ def exact_islands(open_: DataFrame, least: int) -> tuple[DataFrame, list[str]]:
     return out, [first_path, path]
 
 
-def surroundings(open_: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, place, key, runs, around: of the wanted (doc_id, place) the longer runs' hashes, and LEFT words before and RIGHT from the place on, 4
-    bytes each; 0 is beyond the text."""
+def _asked(open_: DataFrame, wanted: DataFrame, f, schema: str) -> DataFrame:
+    """f(words, first word of each row, row and place in the words of each wanted place) gives the columns after doc_id and place."""
     asked = wanted.groupBy("doc_id").agg(F.collect_set("place").alias("asked"))
-    rows = open_.select("doc_id", "words").join(asked, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, w, row, first in _pooled(b, "words"):
+            for lo, hi, w, _, first in _pooled(b, "words"):
                 asked = b.column("asked").slice(lo, hi - lo)
                 own = np.repeat(np.arange(hi - lo), np.asarray(asked.value_lengths()))
-                place = np.asarray(asked.flatten()).astype(np.int64)
-                at = place + first[own]
-                longer = gram_hashes(w, RUN).view(np.int64)
-                begins = at[:, None] - np.array(SHIFTS)
-                fits = (begins >= first[own][:, None]) & (begins + RUN <= first[own + 1][:, None])
-                salted = longer[np.clip(begins, 0, max(0, len(longer) - 1))] + np.arange(len(SHIFTS)) if len(longer) else np.zeros(begins.shape, np.int64)
-                near = at[:, None] + np.arange(-LEFT, RIGHT)
-                inside = (near >= first[own][:, None]) & (near < first[own + 1][:, None])
-                around = np.where(inside, w[np.clip(near, 0, len(w) - 1)], 0).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(lo + own)), pa.array(place, pa.int32()), pa.array(gram_hashes(w, UNIT)[at].view(np.int64)), _lists(salted[fits], fits.sum(axis=1), pa.int64()), _binary(around.reshape(-1), np.full(len(at), LEFT + RIGHT))], ["doc_id", "place", "key", "runs", "around"])
+                place = np.asarray(asked.flatten())
+                column = f(w, first, own, place + first[own])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(lo + own)), pa.array(place, pa.int32()), column], ["doc_id", "place", schema.split()[0]])
+
+    return open_.select("doc_id", "words").join(asked, "doc_id").mapInArrow(run, f"doc_id long, place int, {schema}")
+
 
-    return rows.mapInArrow(run, "doc_id long, place int, key long, runs array<long>, around binary")
+def longer_runs(open_: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, place, runs: hashes of the longer runs around wanted places (doc_id, place)."""
+
+    def runs(w: np.ndarray, first: np.ndarray, own: np.ndarray, at: np.ndarray) -> pa.Array:
+        hashes = gram_hashes(w, RUN).view(np.int64)
+        begins = at[:, None] - np.array(SHIFTS)
+        fits = (begins >= first[own][:, None]) & (begins + RUN <= first[own + 1][:, None])
+        found = hashes[np.clip(begins, 0, max(0, len(hashes) - 1))] + np.arange(len(SHIFTS)) if len(hashes) else np.zeros(begins.shape, np.int64)
+        return _lists(found[fits], fits.sum(axis=1), pa.int64())
+
+    return _asked(open_, wanted, runs, "runs array<long>")
+
+
+def surroundings(open_: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, place, around: LEFT words before wanted places and RIGHT from each on, 4 bytes each; 0 is beyond the text."""
+
+    def around(w: np.ndarray, first: np.ndarray, own: np.ndarray, at: np.ndarray) -> pa.Array:
+        near = at[:, None] + np.arange(-LEFT, RIGHT)
+        inside = (near >= first[own][:, None]) & (near < first[own + 1][:, None])
+        found = np.where(inside, w[np.clip(near, 0, len(w) - 1)], 0).astype(np.uint32)
+        return _binary(found.reshape(-1), np.full(len(at), LEFT + RIGHT))
+
+    return _asked(open_, wanted, around, "around binary")
 
 
 def similar_spans(x: np.ndarray, y: np.ndarray, least: int = LEAST, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
@@ -209,10 +225,10 @@ def similar_spans(x: np.ndarray, y: np.ndarray, least: int = LEAST, similarity:
 
 
 def verified(pairs: DataFrame, around: DataFrame, least: int) -> DataFrame:
-    """pairs: doc_id, place, kept_doc_id, kept_place. doc_id, place, word_start, word_end, kept_doc_id, key of those around which paragraphs are similar."""
-    own = around.select("doc_id", "place", "key", F.col("around").alias("x"))
+    """pairs: doc_id, place, kept_doc_id, kept_place. doc_id, place, word_start, word_end, kept_doc_id of those around which paragraphs are similar."""
+    own = around.select("doc_id", "place", F.col("around").alias("x"))
     kept = around.select(F.col("doc_id").alias("kept_doc_id"), F.col("place").alias("kept_place"), F.col("around").alias("y"))
-    both = pairs.join(own, ["doc_id", "place"]).join(kept, ["kept_doc_id", "kept_place"]).select("doc_id", "place", "kept_doc_id", "key", "x", "y")
+    both = pairs.join(own, ["doc_id", "place"]).join(kept, ["kept_doc_id", "kept_place"]).select("doc_id", "place", "kept_doc_id", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -221,59 +237,48 @@ def verified(pairs: DataFrame, around: DataFrame, least: int) -> DataFrame:
             x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint32).reshape(len(b), -1) for k in ("x", "y"))
             begin, end = similar_spans(x, y, least)
             place = np.asarray(b.column("place")) - LEFT
-            out = pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("place"), pa.array((place + begin).astype(np.int32)), pa.array((place + end).astype(np.int32)), b.column("kept_doc_id"), b.column("key")], ["doc_id", "place", "word_start", "word_end", "kept_doc_id", "key"])
+            out = pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("place"), pa.array((place + begin).astype(np.int32)), pa.array((place + end).astype(np.int32)), b.column("kept_doc_id")], ["doc_id", "place", "word_start", "word_end", "kept_doc_id"])
             yield out.filter(pa.array(end > begin))
 
-    return both.mapInArrow(run, "doc_id long, place int, word_start int, word_end int, kept_doc_id long, key long")
+    return both.mapInArrow(run, "doc_id long, place int, word_start int, word_end int, kept_doc_id long")
 
 
-def similar_passages(open_: DataFrame, loose: DataFrame, least: int) -> tuple[DataFrame | None, list[str]]:
-    """Passages (doc_id, word_start, word_end, kept_doc_id, key) around loose places (doc_id, place, key) that are similar, not equal, to an
+def similar_passages(open_: DataFrame, loose: DataFrame, least: int) -> tuple[DataFrame, list[str]]:
+    """Passages (doc_id, place, word_start, word_end, kept_doc_id) around loose places (doc_id, place, key) that are similar, not equal, to an
     earlier document's; and paths to drop.
 
-    Places that share a key and a longer run meet. In rounds each is compared to two of its run's places, in an order that changes, and
-    to more in later rounds; a place that lies in a passage, or was compared to all of its run, takes no more part. This goes on until no two
-    places are left that weren't compared, all at once when few are. A family of similar texts thus costs as it grows;
-    only places that share a run of 21 words, and no paragraph, with very many others are compared to all of these."""
+    Places that share a key and a longer run meet, the first of each document. All pairs of a run of up to ALL documents are compared. In a run that more
+    have, each is compared to 2 x PARTS of it, the first and last of each part in a hashed order: pairs thus grow with the rows, and a similar paragraph
+    that is near to none of these, nor equal to any earlier one's, may be missed."""
     several = loose.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
     wanted, wanted_path = saved(loose.join(several, "key", "left_semi").select("doc_id", "place").distinct(), "wanted")
-    around, around_path = saved(surroundings(open_, wanted), "around")
-    used, spark, found = [wanted_path, around_path], loose.sparkSession, None
-    rows = around.select("doc_id", "place", F.explode("runs").alias("run"))
-    at, anchors = 0, 2
-    while True:
-        groups = rows.groupBy("run").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").cast("double").alias("n")).where("low < high")
-        groups, path = saved(groups.select("run", "n"), "runs")
-        used.append(path)
-        n, pending = groups.agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()
-        if not n:
-            break
-        live, path = saved(rows.join(groups.select("run"), "run"), "live")
-        used.append(path)
-        final = pending <= LINEAR * n
-        if final:
-            ends = live.select("run", F.col("doc_id").alias("end_doc"), F.col("place").alias("end_place"))
-        else:
-            order = F.struct(F.xxhash64("doc_id", "place", F.lit(at)).alias("order"), F.col("doc_id").alias("end_doc"), F.col("place").alias("end_place"))
-            split = live.withColumn("part", F.pmod(F.xxhash64("doc_id", "place", F.lit(at + 1)), F.lit(anchors // 2)))
-            ends, path = saved(split.groupBy("run", "part").agg(F.min(order).alias("low"), F.max(order).alias("high")).select("run", F.explode(F.array("low", "high")).alias("end")).select("run", "end.end_doc", "end.end_place"), "ends")
-            used.append(path)
-        met = live.join(ends, "run").where(F.col("doc_id") != F.col("end_doc"))
-        later = F.col("doc_id") > F.col("end_doc")
-        one, two = F.struct("doc_id", "place"), F.struct(F.col("end_doc").alias("doc_id"), F.col("end_place").alias("place"))
-        pairs = met.select(F.when(later, one).otherwise(two).alias("own"), F.when(later, two).otherwise(one).alias("kept"))
-        pairs, path = saved(pairs.select("own.doc_id", "own.place", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.place").alias("kept_place")).distinct(), "pairs")
-        near, near_path = saved(verified(pairs, around, least), "similar")
+    runs, runs_path = saved(longer_runs(open_, wanted), "runs")
+    spark = loose.sparkSession
+    release(spark)
+    rows = runs.select("doc_id", "place", F.explode("runs").alias("run")).groupBy("run", "doc_id").agg(F.min("place").alias("place"))
+    rows, rows_path = saved(rows, "places")
+    groups, groups_path = saved(rows.groupBy("run").agg(F.count("*").alias("n")).where("n > 1"), "groups")
+    few = rows.join(groups.where(F.col("n") <= ALL).select("run"), "run")
+    many, many_path = saved(rows.join(groups.where(F.col("n") > ALL).select("run"), "run"), "many")
+    end = F.struct(F.xxhash64("doc_id", "run").alias("order"), "doc_id", "place")
+    split = many.groupBy("run", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).alias("part")).agg(F.min(end).alias("low"), F.max(end).alias("high"))
+    ends, ends_path = saved(split.select("run", F.explode(F.array_distinct(F.array("low", "high"))).alias("end")), "ends")
+    other = few.select("run", F.col("doc_id").alias("end_doc"), F.col("place").alias("end_place"))
+    met = few.join(other, "run").where("doc_id > end_doc").unionByName(many.join(ends.select("run", F.col("end.doc_id").alias("end_doc"), F.col("end.place").alias("end_place")), "run").where("doc_id <> end_doc"))
+    later = F.col("doc_id") > F.col("end_doc")
+    one, two = F.struct("doc_id", "place"), F.struct(F.col("end_doc").alias("doc_id"), F.col("end_place").alias("place"))
+    pairs = met.select(F.when(later, one).otherwise(two).alias("own"), F.when(later, two).otherwise(one).alias("kept"))
+    pairs, pairs_path = saved(pairs.select("own.doc_id", "own.place", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.place").alias("kept_place")).distinct(), "pairs")
+    for path in (wanted_path, runs_path, rows_path, groups_path, many_path, ends_path):
         drop_path(spark, path)
-        used.append(near_path)
-        found = near if found is None else found.union(near)
-        release(spark)
-        if final:
-            break
-        rows = live.join(near.select("doc_id", "place").distinct(), ["doc_id", "place"], "left_anti")
-        rows = rows.join(ends.select("run", F.col("end_doc").alias("doc_id"), F.col("end_place").alias("place")), ["run", "doc_id", "place"], "left_anti")
-        at, anchors = at + 2, anchors if at < 6 else anchors * 2
-    return found, used
+    release(spark)
+    asked = pairs.select("doc_id", "place").union(pairs.select("kept_doc_id", "kept_place")).distinct()
+    around, around_path = saved(surroundings(open_, asked), "around")
+    near, near_path = saved(verified(pairs, around, least), "similar")
+    for path in (pairs_path, around_path):
+        drop_path(spark, path)
+    release(spark)
+    return near, [near_path]
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -283,7 +288,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
     Every run of `least` words (50 at least, below which the bands guarantee nothing) that an earlier document has is
     covered, whatever the number of documents that have it: equal runs meet by a hash of the whole run. Beyond these, paragraphs
     of 50 words whose 5-word shingles have a Jaccard similarity of 0.8 or more with an earlier document's are found by the
-    keys of their bands and verified; such a passage begins and ends with a shared shingle and has
+    keys of their bands and verified (see similar_passages() for those of runs that many documents share); such a passage begins and ends with a shared shingle and has
     `least` words or more. Words are compared by 32-bit hashes and runs by 64-bit ones. class_id names a cluster: passages that share a key, directly or by others, are of one.
 
     A text that equals an earlier document's is one passage, whole, of a class of its own; only the first of equal texts is
@@ -324,8 +329,8 @@ def repeated_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
     heads = held.where("span is not null").groupBy("doc_id", "span").agg(F.min("key").alias("head"))
     links = held.where("span is not null").join(heads, ["doc_id", "span"]).select(F.col("head").alias("a"), F.col("key").alias("b")).distinct()
     found = equal.join(heads, ["doc_id", "span"]).select("doc_id", "word_start", "word_end", "kept_doc_id", "head")
-    if similar is not None:
-        found = found.union(similar.groupBy("doc_id", "word_start", "word_end", "kept_doc_id").agg(F.min("key").alias("head")))
+    near = similar.join(held.select("doc_id", "place", "key"), ["doc_id", "place"]).groupBy("doc_id", "word_start", "word_end", "kept_doc_id").agg(F.min("key").alias("head"))
+    found = found.union(near)
     classes = connected_components(links)
     named = found.join(classes, F.col("head") == F.col("node"), "left").withColumn("class_id", F.coalesce("component", "head"))
     named = named.join(open_.select("doc_id", "text_hash").distinct(), "doc_id")
