@@ -31,7 +31,7 @@ SLIP = 5
 #: Words that are worked on at once.
 BLOCK = 1 << 20
 #: Documents of a longer run up to which all pairs are compared, and with how many of a run's places those of a larger one are, in parts of two.
-ALL, PARTS = 8, 4
+ALL, PARTS = 16, 8
 LEFT, RIGHT = LEAST - UNIT, LEAST
 
 
@@ -251,6 +251,8 @@ def similar_passages(open_: DataFrame, loose: DataFrame, least: int) -> tuple[Da
     have, each is compared to 2 x PARTS of it, the first and last of each part in a hashed order: pairs thus grow with the rows, and a similar paragraph
     that is near to none of these, nor equal to any earlier one's, may be missed."""
     several = loose.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
+    # written, as AQE splits a hot key's rows only where both sides of the join are dealt out for it
+    several, several_path = saved(several, "several")
     wanted, wanted_path = saved(loose.join(several, "key", "left_semi").select("doc_id", "place").distinct(), "wanted")
     runs, runs_path = saved(longer_runs(open_, wanted), "runs")
     spark = loose.sparkSession
@@ -269,7 +271,7 @@ def similar_passages(open_: DataFrame, loose: DataFrame, least: int) -> tuple[Da
     one, two = F.struct("doc_id", "place"), F.struct(F.col("end_doc").alias("doc_id"), F.col("end_place").alias("place"))
     pairs = met.select(F.when(later, one).otherwise(two).alias("own"), F.when(later, two).otherwise(one).alias("kept"))
     pairs, pairs_path = saved(pairs.select("own.doc_id", "own.place", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.place").alias("kept_place")).distinct(), "pairs")
-    for path in (wanted_path, runs_path, rows_path, groups_path, many_path, ends_path):
+    for path in (several_path, wanted_path, runs_path, rows_path, groups_path, many_path, ends_path):
         drop_path(spark, path)
     release(spark)
     asked = pairs.select("doc_id", "place").union(pairs.select("kept_doc_id", "kept_place")).distinct()
