@@ -31,7 +31,7 @@ SLIP = 5
 #: Words that are worked on at once.
 BLOCK = 1 << 20
 #: Documents of a longer run up to which all pairs are compared, and with how many of a run's places those of a larger one are, in parts of two.
-ALL, PARTS = 16, 8
+ALL, PARTS = 8, 4
 LEFT, RIGHT = LEAST - UNIT, LEAST
 
 
