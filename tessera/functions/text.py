@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -9,7 +10,19 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vocabulary as V
 
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def fold_table() -> tuple[str, str]:
+    """Lower-case letters that are one letter and marks, and that letter, of Latin, Greek and Cyrillic script; by Unicode's decompositions."""
+    pairs = []
+    for c in map(chr, [*range(0xC0, 0x530), *range(0x1E00, 0x2000)]):
+        plain = [x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x)]
+        if c == c.lower() and len(plain) == 1 and plain[0] != c and plain[0].isalpha():
+            pairs.append((c, plain[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+ACCENTED, PLAIN = fold_table()
 STRIP = " -;,."
 EDGE = "(^|[^a-z0-9])"
 
@@ -83,9 +96,14 @@ def first_terms(x: Column, limit: int = V.MAX_TERMS) -> Column:
     return F.slice(F.array_distinct(query_terms(x)), 1, limit)
 
 
+def folded(x: Column) -> Column:
+    """Lower case without accents, whether they are part of a letter or marks that follow it."""
+    return F.regexp_replace(F.translate(F.lower(x), ACCENTED, PLAIN), r"[\u0300-\u036f]", "")
+
+
 def index_tokens(x: Column) -> Column:
     """Words of letters and digits, folded to lower case without accents."""
-    return F.regexp_extract_all(F.translate(F.lower(x), ACCENTED, PLAIN), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    return F.regexp_extract_all(folded(x), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
 def has_word(x: Column, word: str) -> Column:

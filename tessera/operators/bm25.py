@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import index_tokens
+from tessera.sources.stored import load_artifact, save_artifact, stored
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Rows that a page's search reads at least, as pages of one search are cut from one list.
+POOL = 160
+
+
+def tokenised(docs: DataFrame, fields: dict[str, float], key: str) -> DataFrame:
+    """key, size (tokens of all fields), terms (an array for each field, in order)."""
+    terms = F.array(*[index_tokens(F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in fields])
+    return docs.select(key, terms.alias("terms")).select(key, F.aggregate("terms", F.lit(0), lambda n, t: n + F.size(t)).alias("size"), "terms")
 
 
 def postings(docs: DataFrame, fields: dict[str, float], key: str = "doc_id") -> DataFrame:
     """(key, field, weight, term, size): a row for each token; size counts the tokens of the document's fields."""
-    tokens = {f: index_tokens(F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in fields}
-    rows = docs.select(key, *[t.alias(f"t_{f}") for f, t in tokens.items()])
-    size = sum((F.size(f"t_{f}") for f in fields), F.lit(0))
-    each = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(float(w)).alias("weight"), F.col(f"t_{f}").alias("terms")) for f, w in fields.items()])
-    return rows.select(key, size.alias("size"), F.explode(each).alias("f")).select(key, "size", "f.field", "f.weight", F.explode("f.terms").alias("term"))
+    named = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(float(w)).alias("weight")) for f, w in fields.items()])
+    rows = tokenised(docs, fields, key).select(key, "size", F.explode(F.zip_with(named, "terms", lambda n, t: F.struct(n["field"].alias("field"), n["weight"].alias("weight"), t.alias("terms")))).alias("f"))
+    return rows.select(key, "size", "f.field", "f.weight", F.explode("f.terms").alias("term"))
 
 
 def inverted_index(docs: DataFrame, fields: dict[str, float], key: str = "doc_id") -> DataFrame:
@@ -25,8 +32,7 @@ def inverted_index(docs: DataFrame, fields: dict[str, float], key: str = "doc_id
 
 def corpus_stats(docs: DataFrame, fields: dict[str, float], key: str = "doc_id") -> DataFrame:
     """One row: documents and mean tokens of a document."""
-    size = sum((F.size(index_tokens(F.coalesce(F.col(f).cast("string"), F.lit("")))) for f in fields), F.lit(0))
-    return docs.select(size.alias("size")).agg(F.count("*").alias("docs"), F.avg(F.col("size").cast("double")).alias("mean_size"))
+    return tokenised(docs, fields, key).agg(F.count("*").alias("docs"), F.avg(F.col("size").cast("double")).alias("mean_size"))
 
 
 def idf(docs: Column, having: Column) -> Column:
@@ -34,17 +40,55 @@ def idf(docs: Column, having: Column) -> Column:
     return F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF))
 
 
-def search(docs: DataFrame, queries: DataFrame, fields: dict[str, float], k: int = 10, key: str = "doc_id") -> DataFrame:
-    """queries: (query_id, term) distinct. query_id, rank, key, score (lower is better, to 6 digits), ties by key.
+def weighted(docs: DataFrame, fields: dict[str, float], key: str) -> DataFrame:
+    """(key, term, size, f): f is the sum of the weights of the fields that a term occurs in, for each occurrence."""
+    return postings(docs, fields, key).groupBy(key, "term", "size").agg(F.sum("weight").alias("f"))
+
+
+def save_index(docs: DataFrame, path: str, fields: dict[str, float], key: str = "doc_id") -> None:
+    """Writes the postings of documents, sorted by term so that a search reads the row groups of its terms, with document frequencies and statistics."""
+    rows = weighted(docs, fields, key)
+    tables = {"postings": rows.repartition("term").sortWithinPartitions("term", key), "terms": rows.groupBy("term").agg(F.count("*").cast("double").alias("having")), "stats": corpus_stats(docs, fields, key)}
+    save_artifact(path, tables, fields=sorted(fields.items()), key=key)
+
+
+def load_index(spark: SparkSession, path: str, fields: dict[str, float], key: str = "doc_id") -> dict[str, DataFrame]:
+    """An index's tables; other fields, weights or keys than it was made with are an error, and so is one that isn't whole."""
+    return load_artifact(spark, path, fields=sorted(fields.items()), key=key)
+
+
+def scores(found: DataFrame, having: DataFrame, queries: DataFrame, docs: float, mean: float, key: str) -> DataFrame:
+    """(query_id, key, score) of all documents that have a term of a query."""
+    weight = idf(F.lit(float(docs)), F.col("having")) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("size") / F.lit(float(mean or 1.0))))
+    each = found.join(having, "term").select(key, "term", weight.alias("weight"))
+    return each.join(queries, "term").groupBy("query_id", key).agg(F.round(-F.sum("weight"), 6).alias("score"))
 
-    Postings are reduced to query terms before anything is grouped; the terms are joined, and broadcast only if Spark
+
+def ranked(scored: DataFrame, k: int, key: str, pages: DataFrame | None = None) -> DataFrame:
+    """The k best of each query, or those of its page (pages: query_id, page from 0); rank counts from 1 on the first page."""
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy("score", key))
+    if pages is None:
+        return scored.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
+    rows = scored.join(pages, "query_id").withColumn("rank", best).where((F.col("rank") > F.col("page") * k) & (F.col("rank") <= (F.col("page") + 1) * k))
+    return rows.select("query_id", "page", "rank", key, "score")
+
+
+def search(docs: DataFrame, queries: DataFrame, fields: dict[str, float], k: int = 10, key: str = "doc_id", pages: DataFrame | None = None) -> DataFrame:
+    """queries: (query_id, term) distinct. query_id, rank, key, score (lower is better, to 6 digits), ties by key; with pages
+    (query_id, page), each query's page of k, and its number.
+
+    Postings are reduced to query terms before anything is grouped, and written once; the terms are joined, and broadcast only if Spark
     finds them small. The two numbers of the corpus come from one pass that aggregates before its shuffle.
     """
     n, mean = corpus_stats(docs, fields, key).first()
     terms = queries.select("term").distinct()
-    found = postings(docs, fields, key).join(terms, "term", "left_semi").groupBy(key, "term", "size").agg(F.sum("weight").alias("f"))
+    found = stored(postings(docs, fields, key).join(terms, "term", "left_semi").groupBy(key, "term", "size").agg(F.sum("weight").alias("f")), "found")
     having = found.groupBy("term").agg(F.count("*").cast("double").alias("having"))
-    weight = idf(F.lit(float(n)), F.col("having")) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("size") / F.lit(float(mean or 1.0))))
-    scored = found.join(having, "term").join(queries, "term").groupBy("query_id", key).agg(F.round(-F.sum(weight), 6).alias("score"))
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy("score", key))
-    return scored.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
+    return ranked(scores(found, having, queries, n, mean, key), k, key, pages)
+
+
+def search_index(index: dict[str, DataFrame], queries: DataFrame, k: int = 10, key: str = "doc_id", pages: DataFrame | None = None) -> DataFrame:
+    """search() over an index that was saved: only postings of query terms are read."""
+    n, mean = index["stats"].first()
+    found = index["postings"].join(queries.select("term").distinct(), "term", "left_semi")
+    return ranked(scores(found, index["terms"], queries, n, mean, key), k, key, pages)

@@ -18,6 +18,11 @@ def session_metrics() -> list[Column]:
     ]
 
 
+def score_of(hit: Column, mrr: Column, mttc: Column) -> Column:
+    """The technical score of three metrics, to 6 digits."""
+    return F.bround(0.50 * hit + 0.30 * mrr + 0.20 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (11.0 - mttc) / 10.0)), 6)
+
+
 def with_score(summary: DataFrame) -> DataFrame:
     """Adds efficiency and technical_score, from the rounded metrics."""
     efficiency = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (11.0 - F.col("mttc")) / 10.0))
@@ -25,9 +30,14 @@ def with_score(summary: DataFrame) -> DataFrame:
     return summary.withColumn("efficiency", F.bround(efficiency, 6)).withColumn("technical_score", F.bround(score, 6))
 
 
+#: Steps of a score that are one range of the area's sums.
+STEPS = 4096
+
+
 def brier_logloss_auc(rows: DataFrame) -> DataFrame:
-    """rows: p, y. One row: accuracy, log_loss, brier, roc_auc (ties count half; null for one class), positive_rate. Ranks come from counts of
-    distinct scores, so no single task sorts the rows."""
+    """rows: p, y. One row: accuracy, log_loss, brier, roc_auc (ties count half; null for one class), positive_rate. Distinct scores are counted and dealt into
+    STEPS ranges; the sums over ranges are one small sorted table, and those within a range are its own window, so no single
+    task sorts the rows."""
     p = F.least(F.greatest(F.col("p"), F.lit(1e-15)), F.lit(1 - 1e-15))
     y = F.col("y").cast("double")
     base = rows.agg(
@@ -35,7 +45,10 @@ def brier_logloss_auc(rows: DataFrame) -> DataFrame:
         F.round(F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))), 6).alias("log_loss"),
         F.round(F.avg((F.col("p") - y) * (F.col("p") - y)), 9).alias("brier"), F.round(F.avg(y), 6).alias("positive_rate"),
     )
-    by = rows.groupBy("p").agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    auc = by.withColumn("below", below).agg(F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"))
+    by = rows.groupBy("p").agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")).withColumn("step", F.least(F.floor(F.col("p") * STEPS), F.lit(STEPS - 1)))
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    ranges = by.groupBy("step").agg(F.sum("neg").alias("whole"))
+    ranges = ranges.select("step", F.coalesce(F.sum("whole").over(earlier.orderBy("step")), F.lit(0.0)).alias("before"))
+    own = F.coalesce(F.sum("neg").over(earlier.partitionBy("step").orderBy("p")), F.lit(0.0))
+    auc = by.withColumn("own", own).join(ranges, "step").agg(F.try_divide(F.sum(F.col("pos") * (F.col("before") + F.col("own") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"))
     return base.join(F.broadcast(auc.select(F.round("auc", 6).alias("roc_auc"))))

@@ -11,11 +11,11 @@ from tessera.functions.text import phrase_match
 RRF = 60.0
 
 
-def fuse(ranks: DataFrame, weight: float) -> DataFrame:
+def fuse(ranks: DataFrame, weight: float | Column) -> DataFrame:
     """query, id, bm25_rank, cos_rank (either may be null) with score and rank: reciprocal ranks, the second weighing
     `weight`; ties by BM25 rank, then id. An id of the second list alone stays, with score 0 at weight 0."""
-    part = lambda w, r: F.coalesce(F.lit(w) / (F.lit(RRF) + F.col(r)), F.lit(0.0))
-    score = part(1.0 - weight, "bm25_rank") + part(weight, "cos_rank")
+    part = lambda w, r: F.coalesce((w if isinstance(w, Column) else F.lit(w)) / (F.lit(RRF) + F.col(r)), F.lit(0.0))
+    score = part(F.lit(1.0) - weight, "bm25_rank") + part(weight, "cos_rank")
     order = Window.partitionBy("query").orderBy(F.desc("score"), F.col("bm25_rank").asc_nulls_last(), "id")
     return ranks.withColumn("score", F.round(score, 8)).withColumn("rank", F.row_number().over(order))
 

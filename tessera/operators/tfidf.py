@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import ACCENTED, PLAIN
+from tessera.functions.text import folded
+from tessera.sources.stored import load_artifact, save_artifact, stored
 
 LEAST_DF, MOST_DF, MOST_TERMS = 2, 0.995, 60_000
 
 
 def grams(x: Column) -> Column:
     """Words of two characters or more, and pairs of neighbours among them."""
-    words = F.regexp_extract_all(F.translate(F.lower(x), ACCENTED, PLAIN), F.lit(r"([\p{L}\p{N}_]{2,})"), 1)
+    words = F.regexp_extract_all(folded(x), F.lit(r"([\p{L}\p{N}_]{2,})"), 1)
     near = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.concat(words, F.filter(near, lambda g: g.isNotNull()))
 
@@ -28,18 +29,49 @@ def vocabulary(tf: DataFrame, docs: int, most: int = MOST_TERMS) -> DataFrame:
     return kept.select("term", (F.log((F.lit(1.0) + docs) / (1 + F.col("df"))) + 1.0).alias("idf"))
 
 
+def raw_weights(tf: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
+    """(key, term, raw): (1 + ln tf) idf."""
+    return tf.join(vocabulary, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
+
+
+def norms(raw: DataFrame, key: str) -> DataFrame:
+    """(key, norm): added up before the shuffle."""
+    return raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+
+
 def weights(tf: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
     """(key, term, w): (1 + ln tf) idf, rows of length 1."""
-    raw = tf.join(vocabulary, "term").withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", (F.col("raw") / norm).alias("w"))
+    raw = raw_weights(tf, vocabulary, key)
+    return raw.join(norms(raw, key), key).select(key, "term", (F.col("raw") / F.col("norm")).alias("w"))
+
+
+def fitted(docs: DataFrame, key: str = "doc_id") -> dict[str, DataFrame]:
+    """vocabulary, postings (key, term, raw) and norms (key, norm) of documents; each is written once and read by what follows."""
+    tf = stored(counts(docs, key), "tf")
+    known = stored(vocabulary(tf, docs.count()), "vocabulary")
+    raw = raw_weights(tf, known, key)
+    return {"vocabulary": known, "postings": raw, "norms": stored(norms(raw, key), "norms")}
+
+
+def save_fit(docs: DataFrame, path: str, key: str = "doc_id") -> None:
+    fit = fitted(docs, key)
+    save_artifact(path, fit | {"postings": fit["postings"].repartition("term").sortWithinPartitions("term", key)}, key=key, text=docs.agg(F.count("*")).first()[0])
+
+
+def load_fit(spark: SparkSession, path: str, docs: DataFrame, key: str = "doc_id") -> dict[str, DataFrame]:
+    """A saved fit; that of another number of documents, or one that isn't whole, is an error."""
+    return load_artifact(spark, path, key=key, text=docs.agg(F.count("*")).first()[0])
+
+
+def search_fit(fit: dict[str, DataFrame], queries: DataFrame, k: int = 10, key: str = "doc_id", query: str = "item_id") -> DataFrame:
+    """query, rank, key, score to 6 digits, ties by key. Only postings of the queries' terms are joined."""
+    asked = stored(weights(counts(queries, query), fit["vocabulary"], query).withColumnRenamed("w", "wq"), "asked")
+    held = fit["postings"].join(asked.select("term").distinct(), "term", "left_semi").join(fit["norms"], key).select(key, "term", (F.col("raw") / F.col("norm")).alias("w"))
+    scored = held.join(asked, "term").groupBy(query, key).agg(F.round(F.sum(F.col("w") * F.col("wq")), 6).alias("score"))
+    rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), key))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select(query, "rank", key, "score")
 
 
 def cosine_search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """docs: doc_id, text; queries: item_id, text. item_id, rank, doc_id, score to 6 digits, ties by doc_id."""
-    tf = counts(docs, "doc_id")
-    known = vocabulary(tf, docs.count())
-    asked = weights(counts(queries, "item_id"), known, "item_id").withColumnRenamed("w", "wq")
-    scored = weights(tf, known, "doc_id").join(asked, "term").groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("wq")), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
+    return search_fit(fitted(docs), queries, k)

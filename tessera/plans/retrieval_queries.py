@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import vocabulary as V
-from tessera.operators import bm25, metrics, ranking, tfidf
+from tessera.operators import agent, bm25, dense, metrics, ranking, synthesis, tfidf
 from tessera.plans.fixtures import CANDIDATES, OUTCOMES, POOL, PREDICTIONS, PRODUCTS, RANKED
-from tessera.plans.text_queries import fraction, product_sql, q, terms_sql, words
+from tessera.plans.text_queries import product_sql, q, squeeze_sql, terms_sql, words
+from tessera.sources import jsonl
+from tessera.sources.stored import shared_dir
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -59,21 +63,17 @@ def tfidf_weights(s, d):
 add("tfidf_weights", tfidf_weights, f"WITH tf AS {GRAMS('benchmark', 'item_id')}, v AS {VOC('tf', 'benchmark')} SELECT item_id, term, round(w, 6) AS w FROM {WEIGHTS('tf', 'v', 'item_id')}")
 add("tfidf_cosine", lambda s, d: tfidf.cosine_search(read(s, d, "documents").select("doc_id", "text"), read(s, d, "benchmark")),
     f"WITH tf AS {GRAMS('documents', 'doc_id')}, v AS {VOC('tf', 'documents')}, a AS {WEIGHTS('tf', 'v', 'doc_id')}, tq AS {GRAMS('benchmark', 'item_id')}, b AS {WEIGHTS('tq', 'v', 'item_id')}, s AS (SELECT item_id, doc_id, round(sum(a.w * b.w), 6) AS score FROM a JOIN b USING (term) GROUP BY ALL) SELECT item_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, score FROM s WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY rank <= 10")
-#: The query set of dense search: a fixed number of rows.
-DENSE_QUERIES = 20
+#: The query set of dense search: every row whose id this divides.
+EACH = 100
 
 
 def dense_topk(s, d):
-    """The ten best dot products of each of 20 queries; the queries, bounded in number, ride along as one broadcast row set."""
+    """The ten best dot products of each vector whose id is divisible by 100 with all others."""
     rows = read(s, d, "embeddings").select("vec_id", c("embedding").cast("array<double>").alias("v"))
-    queries = rows.where(c("vec_id") < DENSE_QUERIES).select(c("vec_id").alias("query_id"), c("v").alias("u"))
-    dot = F.aggregate(F.zip_with("v", "u", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    scored = rows.join(F.broadcast(queries), c("vec_id") != c("query_id")).select("query_id", "vec_id", F.round(dot, 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank).where("rank <= 10")
+    return dense.search(rows, rows.where(c("vec_id") % EACH == 0))
 
 
-add("dense_topk", dense_topk, f"WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_reduce(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]), lambda x, y: x + y), 6) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id < {DENSE_QUERIES}) SELECT query_id, vec_id, score, CAST(row_number() OVER w AS INTEGER) AS rank FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 10")
+add("dense_topk", dense_topk, f"WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_reduce(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]), lambda x, y: x + y), 6) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % {EACH} = 0) SELECT query_id, vec_id, score, CAST(row_number() OVER w AS INTEGER) AS rank FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 10")
 
 
 def recall_at_k(s, d):
@@ -158,29 +158,74 @@ def confidence_features(s, d):
 
 
 add("confidence_features", confidence_features, f"WITH t AS ({SQL['tfidf_cosine']}), g AS (SELECT item_id, max(CASE WHEN rank = 1 THEN score END) AS top1, coalesce(max(CASE WHEN rank = 2 THEN score END), 0) AS top2, avg(score) AS mean10 FROM t GROUP BY item_id) SELECT item_id, top1, round(top1 - top2, 6) AS gap2, round(top1 - mean10, 6) AS gap10, round(mean10, 6) AS mean10, CAST(0.1 AS DOUBLE) AS turn, least(len({terms_sql('text')}), 100) / CAST(100 AS DOUBLE) AS terms FROM g JOIN benchmark USING (item_id)")
-add("catalog_scan", lambda s, d: read(s, d, "events").groupBy("user_id").agg(F.max_by(F.struct("event_type", "value"), "event_id").alias("last")).select("user_id", "last.event_type", "last.value"), "SELECT user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
-add("match_join_price", lambda s, d: read(s, d, "part").select("p_partkey", F.explode(T.index_tokens(c("p_name"))).alias("term"), "p_retailprice").where(c("term").isin("red", "ring")).groupBy("p_partkey").agg(F.count("*").alias("hits"), F.max(T.numeric_price(c("p_retailprice").cast("string"))).alias("price")), "SELECT p_partkey, count(*) AS hits, max(p_retailprice) AS price FROM (SELECT p_partkey, p_retailprice, unnest(string_split(lower(p_name), ' ')) AS term FROM part) WHERE term IN ('red', 'ring') GROUP BY p_partkey")
+add("catalog_scan", lambda s, d: jsonl.last_of_each(read(s, d, "events").select("user_id", "event_id", "event_type", "value"), "user_id", "event_id").select("user_id", "event_type", "value"), "SELECT user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def match_join_price(s, d):
+    """Parts whose name has a word of the search, with the price of the side table, whose key may not repeat."""
+    match = s.createDataFrame([("red",), ("ring",)], "term string")
+    hits = bm25.postings(read(s, d, "part").select("p_partkey", "p_name"), {"p_name": 1.0}, "p_partkey").join(match, "term", "left_semi").groupBy("p_partkey").agg(F.count("*").alias("hits"))
+    side = jsonl.unique_or_fail(read(s, d, "part").select("p_partkey", T.numeric_price(c("p_retailprice").cast("string")).alias("price")), "p_partkey")
+    return hits.join(side, "p_partkey")
+
+
+add("match_join_price", match_join_price, "SELECT p_partkey, hits, m.p_retailprice AS price FROM (SELECT p_partkey, count(*) AS hits FROM (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS term FROM part) WHERE term IN ('red', 'ring') GROUP BY p_partkey) JOIN part m USING (p_partkey)")
 add("candidate_attributes", lambda s, d: read(s, d, "lineitem").select("l_partkey").distinct().join(read(s, d, "part").where("p_size <= 25"), c("l_partkey") == c("p_partkey"), "left").select("l_partkey", F.coalesce("p_brand", F.lit("")).alias("brand"), "p_size"), "SELECT l_partkey, coalesce(p_brand, '') AS brand, p_size FROM (SELECT DISTINCT l_partkey FROM lineitem) LEFT JOIN (SELECT * FROM part WHERE p_size <= 25) ON l_partkey = p_partkey")
-add("sample_target", lambda s, d: read(s, d, "labels").join(read(s, d, "documents").select("doc_id", "lang", "source"), "doc_id"), "SELECT l.*, d.lang, d.source FROM labels l JOIN documents d USING (doc_id)")
+add("sample_target", lambda s, d: synthesis.joined_or_fail(read(s, d, "labels"), read(s, d, "documents").select("doc_id", "lang", "source"), "doc_id"), "SELECT l.*, d.lang, d.source FROM labels l JOIN documents d USING (doc_id)")
 add("target_in_catalog", lambda s, d: read(s, d, "documents").join(read(s, d, "labels"), "doc_id", "left_semi").select("doc_id"), "SELECT doc_id FROM documents SEMI JOIN labels USING (doc_id)")
-add("category_members", lambda s, d: read(s, d, "part").groupBy("p_type").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"), F.max("p_partkey").alias("last")), "SELECT p_type, count(*) AS n, min(p_partkey) AS first, max(p_partkey) AS last FROM part GROUP BY p_type")
+add("category_members", lambda s, d: synthesis.places(read(s, d, "part").select("p_type", "p_partkey"), F.md5(c("p_partkey").cast("string")), "p_type").select("p_type", "nth", "n", "p_partkey"), "SELECT p_type, row_number() OVER (PARTITION BY p_type ORDER BY md5(CAST(p_partkey AS VARCHAR))) AS nth, count(*) OVER (PARTITION BY p_type) AS n, p_partkey FROM part")
 NEGATIVES = 7
-
-
-def hard_negatives(s, d):
-    """The next 7 of the same category on a ring ordered by hash. The order is kept within salted parts of a category, so that
-    no category is one task's window."""
-    rows = read(s, d, "part").select("p_partkey", "p_type", F.md5(c("p_partkey").cast("string")).alias("h")).withColumn("salt", F.substring("h", 1, 1))
-    ring = Window.partitionBy("p_type", "salt").orderBy("h")
-    whole = Window.partitionBy("p_type", "salt").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    n, at = F.count("*").over(whole), F.row_number().over(ring)
-    placed = rows.withColumns({"n": n, "pos": at})
-    asked = placed.select("p_partkey", "p_type", "salt", "n", "pos", F.explode(F.sequence(F.lit(1), F.lit(NEGATIVES))).alias("k")).where("k < n").withColumn("want", (c("pos") - 1 + c("k")) % c("n") + 1)
-    other = placed.select("p_type", "salt", c("pos").alias("want"), c("p_partkey").alias("negative"))
-    return asked.join(other, ["p_type", "salt", "want"]).select("p_partkey", c("k").cast("int").alias("k"), "negative")
-
-
-add("hard_negatives", hard_negatives, "WITH p AS (SELECT p_partkey, p_type, substr(h, 1, 1) AS salt, row_number() OVER (PARTITION BY p_type, substr(h, 1, 1) ORDER BY h) AS pos, count(*) OVER (PARTITION BY p_type, substr(h, 1, 1)) AS n FROM (SELECT *, md5(CAST(p_partkey AS VARCHAR)) AS h FROM part)) SELECT a.p_partkey, CAST(k AS INTEGER) AS k, b.p_partkey AS negative FROM p a, range(1, 8) r(k) JOIN p b ON b.p_type = a.p_type AND b.salt = a.salt AND b.pos = (a.pos - 1 + k) % a.n + 1 WHERE k < a.n")
+RING = """p AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY h) AS pos, count(*) OVER (PARTITION BY category) AS n, row_number() OVER (ORDER BY h) AS gpos, count(*) OVER () AS gn FROM (SELECT id, category, md5('2026:' || id) AS h FROM {0})),
+same AS (SELECT a.id, CAST(k AS INTEGER) AS k, b.id AS negative FROM p a, range(1, 8) r(k) JOIN p b ON b.category = a.category AND b.pos = (a.pos - 1 + k) % a.n + 1 WHERE k < a.n),
+fill AS (SELECT a.id, CAST(a.n - 1 + row_number() OVER (PARTITION BY a.id ORDER BY step) AS INTEGER) AS k, b.id AS negative FROM p a, range(1, 15) r(step) JOIN p b ON b.gpos = (a.gpos - 1 + step) % a.gn + 1 WHERE a.n <= 7 AND step < a.gn AND b.category IS DISTINCT FROM a.category),
+neg AS (SELECT * FROM same UNION ALL SELECT * FROM fill WHERE k <= 7)"""
+PARTS = "(SELECT p_partkey AS id, p_type AS category FROM part)"
+add("hard_negatives", lambda s, d: synthesis.negatives(read(s, d, "part").select(c("p_partkey").alias("id"), c("p_type").alias("category")), NEGATIVES).withColumnRenamed("id", "p_partkey"), "WITH " + RING.format(PARTS) + " SELECT id AS p_partkey, k, negative FROM neg")
+RARE = "(SELECT p_partkey AS id, p_brand || p_type || p_size AS category FROM part)"
+add("filled_negatives", lambda s, d: synthesis.negatives(read(s, d, "part").select(c("p_partkey").alias("id"), F.concat("p_brand", "p_type", c("p_size").cast("string")).alias("category")), NEGATIVES), "WITH " + RING.format(RARE) + " SELECT id, k, negative FROM neg")
+PAGES = BM25 + "SELECT query_id, CAST(query_id % 3 AS INTEGER) AS page, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score, doc_id) QUALIFY rank > (query_id % 3) * 10 AND rank <= (query_id % 3 + 1) * 10"
+
+
+def paged_search(s, d):
+    """Page 0, 1 or 2 of each benchmark item's search, by its id."""
+    pages = read(s, d, "benchmark").select(c("item_id").alias("query_id"), (c("item_id") % 3).cast("int").alias("page"))
+    return bm25.search(read(s, d, "documents"), asked(s, d), FIELDS, pages=pages)
+
+
+add("paged_search", paged_search, PAGES)
+
+
+def saved_index_search(s, d):
+    """bm25_topk through an index that is saved, checked and loaded."""
+    path = f"{shared_dir(s)}/tessera/index-{uuid.uuid4().hex}"
+    bm25.save_index(read(s, d, "documents"), path, FIELDS)
+    return bm25.search_index(bm25.load_index(s, path, FIELDS), asked(s, d))
+
+
+add("saved_index_search", saved_index_search, SQL["bm25_topk"])
+USERS = "(SELECT conv_id AS session, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'user')"
+FIRST_TERMS = lambda x: f"list_slice(list_filter(list_transform(range(1, len({x}) + 1), lambda i: CASE WHEN list_position({x}, {x}[i]) = i THEN {x}[i] END), lambda v: v IS NOT NULL), 1, {V.MAX_TERMS})"
+EVIDENCE = f"""e0 AS (SELECT session, turn, string_agg(text, ' ') OVER (PARTITION BY session ORDER BY turn) AS query, row_number() OVER (PARTITION BY session ORDER BY turn) AS nth FROM {USERS}),
+e1 AS (SELECT *, {terms_sql('query')} AS found FROM e0), e2 AS (SELECT *, {FIRST_TERMS('found')} AS terms FROM e1),
+e3 AS (SELECT *, sum(new) OVER (PARTITION BY session ORDER BY turn) AS island FROM (SELECT *, CASE WHEN terms = lag(terms) OVER (PARTITION BY session ORDER BY turn) THEN 0 ELSE 1 END AS new FROM e2)),
+e AS (SELECT session * 1000 + turn AS qid, session, turn, nth, query, terms, CAST(row_number() OVER (PARTITION BY session, island ORDER BY turn) - 1 AS INTEGER) AS page FROM e3)"""
+users = lambda s, d: read(s, d, "conversations").where("role = 'user'").select(c("conv_id").alias("session"), "turn", "text")
+add("turn_evidence", lambda s, d: agent.evidence(users(s, d)).select("session", "turn", F.array_join("terms", " ").alias("terms"), "page"), f"WITH {EVIDENCE} SELECT session, turn, array_to_string(terms, ' ') AS terms, page FROM e")
+ITEM = TOKENS("text")
+AGENT = f"""WITH {EVIDENCE}, depth AS (SELECT greatest({agent.POOL}, (max(page) + 1) * {agent.TOP}) AS d FROM e),
+post AS (SELECT item_id AS id, unnest({ITEM}) AS term, len({ITEM}) AS size FROM benchmark), st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(CAST(len({ITEM}) AS DOUBLE)) AS mean FROM benchmark),
+asked AS (SELECT qid, unnest(terms) AS term FROM e), f AS (SELECT id, term, size, CAST(count(*) AS DOUBLE) AS f FROM post GROUP BY ALL), h AS (SELECT term, CAST(count(*) AS DOUBLE) AS h FROM f GROUP BY term),
+b AS (SELECT qid, id, round(-sum(CASE WHEN ln((n - h + CAST(0.5 AS DOUBLE)) / (h + CAST(0.5 AS DOUBLE))) > 0 THEN ln((n - h + CAST(0.5 AS DOUBLE)) / (h + CAST(0.5 AS DOUBLE))) ELSE CAST(1e-6 AS DOUBLE) END * f * CAST(2.2 AS DOUBLE) / (f + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * size / mean))), 6) AS score FROM f JOIN h USING (term) JOIN asked USING (term), st GROUP BY qid, id),
+br AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score, id) AS bm25_rank FROM b QUALIFY bm25_rank <= (SELECT d FROM depth)),
+said AS (SELECT qid, query AS text FROM e), tf AS {GRAMS('benchmark', 'item_id')}, v AS {VOC('tf', 'benchmark')}, wa AS {WEIGHTS('tf', 'v', 'item_id')}, tq AS {GRAMS('said', 'qid')}, wb AS {WEIGHTS('tq', 'v', 'qid')},
+t AS (SELECT qid, item_id AS id, round(sum(wa.w * wb.w), 6) AS score FROM wa JOIN wb USING (term) GROUP BY ALL),
+tr AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS cos_rank FROM t QUALIFY cos_rank <= (SELECT d FROM depth)),
+held AS (SELECT e.*, CAST(CASE WHEN coalesce(sure, 0) >= 0.8 THEN 0.05 ELSE 0.0 END AS DOUBLE) AS weight FROM e LEFT JOIN (SELECT qid, max(score) AS sure FROM tr GROUP BY qid) USING (qid)),
+j AS (SELECT qid, id, bm25_rank, cos_rank FROM br FULL JOIN (SELECT qid, id, cos_rank FROM tr) USING (qid, id)),
+r AS (SELECT j.qid, j.id, round(coalesce((1 - weight) / (60 + bm25_rank), 0) + coalesce(weight / (60 + cos_rank), 0), 8) AS score, row_number() OVER (PARTITION BY j.qid ORDER BY coalesce((1 - weight) / (60 + bm25_rank), 0) + coalesce(weight / (60 + cos_rank), 0) DESC, bm25_rank NULLS LAST, id) AS rank FROM j JOIN held USING (qid))
+SELECT session, turn, page, weight, list_extract({words([*V.SLOT_ORDER, 'other'])}, least(nth, {len(V.SLOT_ORDER) + 1})) AS ask, CAST(rank AS INTEGER) AS rank, r.id, score FROM held LEFT JOIN r ON r.qid = held.qid AND rank > page * {agent.TOP} AND rank <= (page + 1) * {agent.TOP}"""
+add("agent_turn", lambda s, d: agent.respond(users(s, d), read(s, d, "benchmark").select(c("item_id").alias("id"), "text")), AGENT)
+add("hash_sample", lambda s, d: synthesis.hash_sample(read(s, d, "part").select("p_partkey", "p_name"), "p_partkey", 100), "SELECT p_partkey, p_name FROM part ORDER BY md5('2026:' || p_partkey), p_partkey LIMIT 100")
+add("profile_query", lambda s, d: read(s, d, "documents").select("doc_id", synthesis.profile_query(F.concat(F.lit("I need "), "lang"), F.when(c("doc_id") % 3 == 0, c("text")), F.when(c("doc_id") % 3 == 1, F.array("source", "lang"))).alias("query")), "SELECT doc_id, 'I need ' || lang || CASE doc_id % 3 WHEN 0 THEN coalesce(' Shopper profile: ' || nullif(" + squeeze_sql("text", 220) + ", ''), '') WHEN 1 THEN ' Shopper profile: Past preferences: ' || source || ', ' || lang || '.' ELSE '' END AS query FROM documents")
+add("worst_case", lambda s, d: OUTCOMES.spark(s).groupBy("scenario").agg(*metrics.session_metrics()).select("scenario", F.least(metrics.score_of(c("hit_rate_at_10"), c("mrr"), c("mttc")), metrics.score_of(c("hit_rate_at_10") * 0.9, c("mrr"), c("mttc"))).alias("worst_score")), f"SELECT scenario, least(round_even(CAST(0.5 AS DOUBLE) * hit_rate_at_10 + CAST(0.3 AS DOUBLE) * mrr + CAST(0.2 AS DOUBLE) * {EFF}, 6), round_even(CAST(0.5 AS DOUBLE) * (hit_rate_at_10 * CAST(0.9 AS DOUBLE)) + CAST(0.3 AS DOUBLE) * mrr + CAST(0.2 AS DOUBLE) * {EFF}, 6)) AS worst_score FROM (SELECT scenario, {{MET}} FROM {{O}} GROUP BY scenario)".replace("{MET}", MET).replace("{O}", O))
 PT = product_sql(700, 450, 600)
 some = lambda rx: f"list_sort(list_distinct(list_transform(regexp_extract_all(lower({PT}), {q(rx)}), lambda x: replace(x, 'grey', 'gray'))))"
 match = lambda ts: f"list_filter({words(ts)}, lambda t: regexp_matches(lower({PT}), '\\b' || t || '\\b'))"
