@@ -120,6 +120,7 @@ def negatives(rows: DataFrame, count: int = 7, seed: int = 2026) -> DataFrame:
     """rows: id, category. id, k (from 1), negative: `count` other ids for each, the next of its category on a ring in hash order;
     where the category has too few, the next ids of other categories on the ring of all. Fewer only if there are no more ids. Pairs
     grow with the rows alone."""
+    rows = rows.select("id", F.coalesce(F.col("category").cast("string"), F.lit("")).alias("category"))  # null is a category as the empty one is
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))
     steps = lambda n: F.explode(F.sequence(F.lit(1), F.lit(n)))
     own = places(rows.select("id", "category"), order, "category")

@@ -30,7 +30,8 @@ def last_of_each(rows: DataFrame, key: str, ordinal: str) -> DataFrame:
 def unique_or_fail(rows: DataFrame, key: str) -> DataFrame:
     """rows; reading them fails if a key repeats."""
     twice = rows.groupBy(key).agg(F.count("*").alias("n")).select(F.assert_true(F.max("n") <= 1, F.lit(f"{key} repeats")).alias("ok"))
-    return rows.join(F.broadcast(twice)).drop("ok")
+    # the check is a filter, as an unused column would never be computed; its side is one row
+    return rows.join(F.broadcast(twice)).where(F.col("ok").isNull()).drop("ok")
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:
