@@ -304,6 +304,30 @@ def test_passages_of_large_families(spark):
     assert {r.doc_id for r in spans} == set(range(701, 900))
 
 
+def test_passages_similar_inside_large_runs(spark):
+    """120 texts share a run of 30 words, but only the three of a passage of 52-70 words around it are similar, each with a word
+    changed, put in or left out: all but the first of each are found, beside that one alone; repeats of a line within a text too."""
+    rng, rows, spans = np.random.default_rng(11), [], {}
+    core = [f"core{k}" for k in range(30)]
+    for n in range(40):
+        # every other passage has nothing but the common run and 22 words beyond the edit, too few for a key of their own
+        left = int(rng.integers(6, 30)) if n % 2 else 0
+        base = [f"l{n}w{k}" for k in range(left)] + core + [f"r{n}w{k}" for k in range(int(rng.integers(60, 71)) - 30 - left if n % 2 else 23)]
+        for k in range(3):
+            own, at = list(base), int(rng.integers(6, len(base) - 6)) if n % 2 else 30
+            if k or not n % 2:
+                own[at : at + (n % 3 != 1)] = [f"edit{n}k{k}"] if n % 3 < 2 or not n % 2 else []
+            head = [f"h{n}k{k}x{i}" for i in range(int(rng.integers(5, 50)))] + (core if n % 5 == 0 else []) + [f"g{n}k{k}x{i}" for i in range(9)]
+            rows.append((k * 1000 + n, " ".join([*head, *own, *(f"t{n}k{k}x{i}" for i in range(30))])))
+            spans[k * 1000 + n] = (len(head), len(head) + len(own))
+    found = passages.repeated_passages(documents(spark, rows)).collect()
+    print("similar passages of large runs found", len({r.doc_id for r in found}), "of", 80)
+    assert {r.doc_id for r in found} == {k for k in spans if k >= 1000}
+    for r in found:
+        a, b = spans[r.doc_id]
+        assert a <= r.word_start and r.word_end <= b and r.kept_doc_id % 1000 == r.doc_id % 1000 and r.kept_doc_id < r.doc_id
+
+
 def test_different_texts_of_one_doc_id(spark):
     other = " ".join(WORDS[150:230])
     docs = documents(spark, [(1, LONG), (2, LONG), (2, other), (3, other)])
