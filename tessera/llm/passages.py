@@ -30,10 +30,10 @@ RUN, SHIFTS = 21, (0, 3, 6, 9)
 SLIP = 5
 #: Words that are worked on at once.
 BLOCK = 1 << 20
-#: Places of a longer run up to which all pairs are compared.
+#: Documents of a longer run up to which all pairs are compared.
 ALL = 8
 #: Words that similar paragraphs have in common in two runs; the lengths of the one that holds a key (the other has GRAM words or more).
-SHARED, HALF, LONGEST = 49, 25, 45
+SHARED, HALF, LONGEST = 49, 25, 44
 LEFT, RIGHT = LEAST - UNIT + 1, LEAST + 1
 
 
@@ -277,48 +277,80 @@ def forks(around: DataFrame) -> DataFrame:
     return around.select("doc_id", "place", "around").mapInArrow(run, "doc_id long, place int, depth byte, node long, word long")
 
 
-def gapped_keys(around: DataFrame) -> DataFrame:
-    """around: doc_id, place, around, depths (where others go on with another word). doc_id, place, key: hashes of two runs of words, SHARED together, with the place's
-    key at the same word of one and the other beyond such a depth, after one word of this text or none. Similar paragraphs have such a key in common (see similar_passages())."""
+def _powers(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of words (0 is none): powers of a number; sums of words by powers, and counts of holes, before each column. The hash of a run is the
+    difference of sums, moved to one place by a power so that it tells words alone."""
+    power = np.cumprod(np.full(w.shape[1] + 1, 0x9E3779B97F4A7C15, np.uint64))
+    edge = np.zeros((len(w), 1), np.uint64)
+    sums = np.concatenate([edge, np.cumsum(mix(w) * power[:-1], axis=1, dtype=np.uint64)], axis=1)
+    holes = np.concatenate([edge.astype(np.int32), np.cumsum(w == 0, axis=1, dtype=np.int32)], axis=1)
+    return power, sums, holes
+
+
+def beyond(around: DataFrame) -> DataFrame:
+    """around: doc_id, place, around, depths (where others go on with another word). doc_id, place, depth, gap, key: hashes of the words from a place to such a depth and
+    of the GRAM words beyond it, after gap words. Texts of a key of gapped_keys() have this one in common too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not len(b):
                 continue
             w = np.frombuffer(b"".join(b.column("around").to_pylist()), np.uint32).reshape(len(b), -1).astype(np.uint64)
-            # hashes of runs by differences of sums of powers
-            power = np.cumprod(np.full(w.shape[1] + 1, 0x9E3779B97F4A7C15, np.uint64))
-            sums = np.concatenate([np.zeros((len(w), 1), np.uint64), np.cumsum(mix(w) * power[:-1], axis=1, dtype=np.uint64)], axis=1)
-            holes = np.concatenate([np.zeros((len(w), 1), np.int32), np.cumsum(w == 0, axis=1, dtype=np.int32)], axis=1)
+            power, sums, holes = _powers(w)
             depths = b.column("depths")
             row = np.repeat(np.arange(len(b)), np.asarray(depths.value_lengths()))
             depth = np.asarray(depths.flatten()).astype(np.int64)
+            right = depth > 0
+            a, end = np.where(right, LEFT, depth + 1 + LEFT), np.where(right, depth, UNIT) + LEFT
+            one = mix((sums[row, end] - sums[row, a]) * power[w.shape[1] - a] + right.astype(np.uint64)) + depth.astype(np.uint64)
+            for gap in (0, 1):
+                c = np.where(right, end + gap, a - gap - GRAM)
+                fits = np.flatnonzero((c >= 0) & (c + GRAM <= w.shape[1]))
+                r, f = row[fits], c[fits]
+                known = holes[r, f + GRAM] == holes[r, f]
+                r, f, fits = r[known], f[known], fits[known]
+                key = mix(mix(one[fits]) * np.uint64(0x9E3779B97F4A7C15) + (sums[r, f + GRAM] - sums[r, f]) * power[w.shape[1] - f])
+                own = pa.array(r)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(own), b.column("place").take(own), pa.array(depth[fits].astype(np.int8)), pa.array(np.full(len(fits), gap, np.int8)), pa.array(key.view(np.int64))], ["doc_id", "place", "depth", "gap", "key"])
+
+    return around.select("doc_id", "place", "around", "depths").mapInArrow(run, "doc_id long, place int, depth byte, gap byte, key long")
+
+
+def gapped_keys(around: DataFrame) -> DataFrame:
+    """around: doc_id, place, around, ways (2 x depth + gap, of keys of beyond() that others have). doc_id, place, key: hashes of two runs of words, SHARED together, with the place's
+    key at the same word of one and the other beyond such a depth, after one word of this text or none. Similar paragraphs have such a key in common (see similar_passages())."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            w = np.frombuffer(b"".join(b.column("around").to_pylist()), np.uint32).reshape(len(b), -1).astype(np.uint64)
+            power, sums, holes = _powers(w)
+            ways = b.column("ways")
+            row = np.repeat(np.arange(len(b)), np.asarray(ways.value_lengths()))
+            way = np.asarray(ways.flatten()).astype(np.int64)
+            depth, gap = way // 2, way % 2
+            right = depth > 0
+            at = np.where(right, depth, depth + 1) + LEFT
             owners, keys = [], []
             for long in range(HALF, LONGEST + 1):
-                # a later text that has no word between the runs needs one more in them to be LEAST words long
-                for gap, total in ((1, SHARED), (0, SHARED), (1, SHARED + 1), (0, SHARED + 1)):
-                    short = total - long
-                    if short < GRAM:
-                        continue
-                    right = depth > 0
-                    at = np.where(right, depth, depth + 1) + LEFT
-                    a = np.where(right, at - long, at)
-                    c = np.where(right, at + gap, at - gap - short)
-                    fits = (a <= LEFT) & (a + long >= LEFT + UNIT) & (a >= 0) & (c >= 0) & (c + short <= w.shape[1])
-                    r, a, c, right = row[fits], a[fits], c[fits], right[fits]
-                    whole = (holes[r, a + long] == holes[r, a]) & (holes[r, c + short] == holes[r, c])
-                    r, a, c, right = r[whole], a[whole], c[whole], right[whole]
-                    # a run's hash is moved to one place, so that it tells words alone
-                    one = (sums[r, a + long] - sums[r, a]) * power[w.shape[1] - a]
-                    two = (sums[r, c + short] - sums[r, c]) * power[w.shape[1] - c]
-                    keys.append(mix(mix(one + np.uint64(total)) * np.uint64(0x9E3779B97F4A7C15) + mix(two + np.uint64(long)) + np.uint64(2) * (LEFT - a).astype(np.uint64) + right.astype(np.uint64)))
-                    owners.append(r)
+                short = SHARED - long
+                a = np.where(right, at - long, at)
+                c = np.where(right, at + gap, at - gap - short)
+                fits = (a <= LEFT) & (a + long >= LEFT + UNIT) & (a >= 0) & (c >= 0) & (c + short <= w.shape[1])
+                r, a, c, side = row[fits], a[fits], c[fits], right[fits]
+                whole = (holes[r, a + long] == holes[r, a]) & (holes[r, c + short] == holes[r, c])
+                r, a, c, side = r[whole], a[whole], c[whole], side[whole]
+                one = (sums[r, a + long] - sums[r, a]) * power[w.shape[1] - a]
+                two = (sums[r, c + short] - sums[r, c]) * power[w.shape[1] - c]
+                keys.append(mix(mix(one) * np.uint64(0x9E3779B97F4A7C15) + mix(two + np.uint64(long)) + np.uint64(2) * (LEFT - a).astype(np.uint64) + side.astype(np.uint64)))
+                owners.append(r)
             own, key = np.concatenate(owners), np.concatenate(keys)
             for lo in range(0, len(own), BLOCK):
                 part = pa.array(own[lo : lo + BLOCK])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(part), b.column("place").take(part), pa.array(key[lo : lo + BLOCK].view(np.int64))], ["doc_id", "place", "key"])
 
-    return around.select("doc_id", "place", "around", "depths").mapInArrow(run, "doc_id long, place int, key long")
+    return around.select("doc_id", "place", "around", "ways").mapInArrow(run, "doc_id long, place int, key long")
 
 
 def gapped_pairs(around: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -328,8 +360,11 @@ def gapped_pairs(around: DataFrame) -> tuple[DataFrame, list[str]]:
     steps, steps_path = saved(forks(around), "forks")
     nodes, nodes_path = saved(steps.groupBy("node").agg(F.min("word").alias("low"), F.max("word").alias("high")).where("low < high").select("node"), "nodes")
     depths = steps.join(nodes, "node", "left_semi").groupBy("doc_id", "place").agg(F.collect_set("depth").alias("depths"))
-    rows, rows_path = saved(gapped_keys(around.join(depths, ["doc_id", "place"])), "gapped")
-    for path in (steps_path, nodes_path):
+    near, near_path = saved(beyond(around.join(depths, ["doc_id", "place"])), "beyond")
+    known, known_path = saved(near.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key"), "known")
+    ways = near.join(known, "key", "left_semi").groupBy("doc_id", "place").agg(F.collect_set((2 * F.col("depth") + F.col("gap")).cast("short")).alias("ways"))
+    rows, rows_path = saved(gapped_keys(around.join(ways, ["doc_id", "place"])), "gapped")
+    for path in (steps_path, nodes_path, near_path, known_path):
         drop_path(spark, path)
     release(spark)
     first = rows.groupBy("key").agg(F.min(F.struct("doc_id", "place")).alias("kept"), F.max("doc_id").alias("last")).where("kept.doc_id < last").drop("last")
@@ -342,11 +377,11 @@ def similar_passages(open_: DataFrame, loose: DataFrame, least: int) -> tuple[Da
     """Passages (doc_id, place, word_start, word_end, kept_doc_id) around loose places (doc_id, place, key) that are similar, not equal, to an
     earlier document's; and paths to drop.
 
-    Places that share a key and a longer run meet. All pairs of a run that up to ALL places have are compared. In a run of more, places meet by keys that
+    Places that share a key and a longer run meet, the first of each document. All pairs of a run of up to ALL documents are compared. In a run of more, places meet by keys that
     only similar ones share, and each is compared to the first of a key: of paragraphs of 50 words and Jaccard 0.8, 41 of 46 shingles are in common, so all words
     but one are, in order, in two runs of SHARED words together that one word parts in either text or both. A key is the hash of two such runs, taken where
-    texts of the longer run really part. The first of a key is similar in the same words as any other that has it, so no similar paragraph is missed, but for one that differs by two or
-    more words that repeat those before them."""
+    texts of the longer run really part. The first of a key is similar in the same words as any other that has it, so no similar paragraph is missed, but for two narrow cases: two or more words put in that
+    repeat those before them; and one word left out, where the first of a key shares SHARED words, one short of a passage, and only others share more."""
     several = loose.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
     # written, as AQE splits a hot key's rows only where both sides of the join are dealt out for it
     several, several_path = saved(several, "several")
@@ -354,9 +389,9 @@ def similar_passages(open_: DataFrame, loose: DataFrame, least: int) -> tuple[Da
     runs, runs_path = saved(longer_runs(open_, wanted), "runs")
     spark = loose.sparkSession
     release(spark)
-    rows = runs.select("doc_id", "place", F.explode("runs").alias("run"))
-    groups = rows.groupBy("run").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("run", "n")
-    groups, groups_path = saved(groups, "groups")
+    rows = runs.select("doc_id", "place", F.explode("runs").alias("run")).groupBy("run", "doc_id").agg(F.min("place").alias("place"))
+    rows, rows_path = saved(rows, "places")
+    groups, groups_path = saved(rows.groupBy("run").agg(F.count("*").alias("n")).where("n > 1"), "groups")
     few = rows.join(groups.where(F.col("n") <= ALL).select("run"), "run")
     many = rows.join(groups.where(F.col("n") > ALL).select("run"), "run").select("doc_id", "place").distinct()
     many, many_path = saved(surroundings(open_, many), "many")
@@ -365,7 +400,7 @@ def similar_passages(open_: DataFrame, loose: DataFrame, least: int) -> tuple[Da
     met = few.join(other, "run").where("doc_id > kept_doc_id").select("doc_id", "place", "kept_doc_id", "kept_place")
     gapped, gapped_paths = gapped_pairs(many)
     pairs, pairs_path = saved(met.unionByName(gapped).distinct(), "pairs")
-    for path in (several_path, wanted_path, runs_path, groups_path, many_path, *gapped_paths):
+    for path in (several_path, wanted_path, runs_path, rows_path, groups_path, many_path, *gapped_paths):
         drop_path(spark, path)
     release(spark)
     asked = pairs.select("doc_id", "place").union(pairs.select("kept_doc_id", "kept_place")).distinct()

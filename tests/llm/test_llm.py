@@ -306,7 +306,7 @@ def test_passages_of_large_families(spark):
 
 def test_passages_similar_inside_large_runs(spark):
     """120 texts share a run of 30 words, but only the three of a passage of 52-70 words around it are similar, each with a word
-    changed, put in or left out: all but the first of each are found, beside that one alone; repeats of a line within a text too."""
+    changed, put in or left out: all but the first of each are found, and nothing beside. Some texts have the run twice."""
     rng, rows, spans = np.random.default_rng(11), [], {}
     core = [f"core{k}" for k in range(30)]
     for n in range(40):
