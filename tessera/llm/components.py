@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.scratch import drop_path, saved
+from tessera.llm.scratch import dealt, drop_path, saved
 
 MAX_ROUNDS = 60
 
@@ -33,9 +33,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         mark = now
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select(F.col("v"), F.col("u")))
         least, least_path = saved(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "least")
-        large, large_path = saved(both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        large, large_path = saved(both.where("y > x").join(dealt(least), "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct(), "large")
         root, root_path = saved(large.groupBy("u").agg(F.min("v").alias("m")), "root")
-        rest = large.join(root, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        rest = large.join(dealt(root), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new, new_path = saved(rest.union(root.select("u", F.col("m").alias("v"))).distinct(), "components")
         for used in (least_path, large_path, root_path):
             drop_path(spark, used)

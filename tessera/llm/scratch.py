@@ -43,6 +43,12 @@ def saved(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df, to be joined by dealing out both sides, never as a broadcast: Spark takes a saved table to be as large as its files, which
+    may hold far more than a driver's memory once they are rows."""
+    return df.hint("merge")
+
+
 def tuned(spark: SparkSession) -> SparkSession:
     """Bounds the rows and bytes of an Arrow batch for this session, unless the session already has a smaller bound. A text longer than the
     bound is a batch of its own."""

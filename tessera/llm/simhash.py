@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
-from tessera.llm.scratch import drop_path, saved, table
+from tessera.llm.scratch import dealt, drop_path, saved, table
 
 SEED = 42
 SEGMENTS, BYTES = 16, 8
@@ -103,10 +103,10 @@ def hamming_links(points: DataFrame, bits: int, cell: int = 64) -> DataFrame:
     cells = F.array(*[F.struct(F.lit(k).cast("byte").alias("grid"), F.col("counts").bitwiseAND(F.lit(g)).alias("cell")) for k, g in enumerate(signed)])
     keyed = point.select("fingerprint", "counts", F.explode(cells).alias("key")).select("fingerprint", "counts", "key.grid", "key.cell")
     full = keyed.groupBy("grid", "cell").agg(F.count("*").alias("size")).where("size > 1")
-    met, met_path = saved(keyed.join(full, ["grid", "cell"]), "cells")
+    met, met_path = saved(keyed.join(dealt(full), ["grid", "cell"]), "cells")
     cold = met.where(F.col("size") <= cell)
     pairs = (
-        cold.alias("x").join(cold.alias("y"), ["grid", "cell"]).where("x.fingerprint < y.fingerprint")
+        cold.alias("x").join(dealt(cold.alias("y")), ["grid", "cell"]).where("x.fingerprint < y.fingerprint")
         .where(manhattan(F.col("x.counts"), F.col("y.counts")) <= bits)
         .where(F.bit_count(F.col("x.fingerprint").bitwiseXOR(F.col("y.fingerprint"))) <= bits)
         .select(F.col("x.fingerprint").alias("a"), F.col("y.fingerprint").alias("b"))
@@ -117,9 +117,9 @@ def hamming_links(points: DataFrame, bits: int, cell: int = 64) -> DataFrame:
         flips = F.array(F.lit(0)) if not bits else flips
     near = hot.select("fingerprint", F.explode(F.transform(flips, lambda m: F.col("fingerprint").bitwiseXOR(m))).alias("via"))
     if bits == 1:
-        near = near.join(hot.select(F.col("fingerprint").alias("via")), "via", "left_semi")
+        near = near.join(dealt(hot.select(F.col("fingerprint").alias("via"))), "via", "left_semi")
     star = near.groupBy("via").agg(F.min("fingerprint").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    links = near.join(star, "via").where("a < fingerprint").select("a", F.col("fingerprint").alias("b"))
+    links = near.join(dealt(star), "via").where("a < fingerprint").select("a", F.col("fingerprint").alias("b"))
     out, _ = saved(pairs.union(links).distinct(), "links")
     drop_path(out.sparkSession, met_path)
     return out
@@ -139,12 +139,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2, cell: int
     links = hamming_links(points, bits, cell)
     # nodes are fingerprints, so one that only rows without doc_id have still links others; repeated doc_ids join theirs
     again = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("fingerprint").alias("a"), F.max("fingerprint").alias("b")).where("a < b").select("doc_id", "a")
-    more = rows.join(again, "doc_id").where("a <> fingerprint").select("a", F.col("fingerprint").alias("b"))
+    more = rows.join(dealt(again), "doc_id").where("a <> fingerprint").select("a", F.col("fingerprint").alias("b"))
     found = connected_components(links.union(more))
-    named = points.join(found, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "first", F.coalesce("component", "fingerprint").alias("group"))
+    named = points.join(dealt(found), F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "first", F.coalesce("component", "fingerprint").alias("group"))
     named, _ = saved(named, "named")
     ids, _ = saved(named.groupBy("group").agg(F.min("first").alias("component_id")), "ids")
-    out = rows.join(named.join(ids, "group").select("fingerprint", "component_id"), "fingerprint")
+    out = rows.join(dealt(named.join(dealt(ids), "group").select("fingerprint", "component_id")), "fingerprint")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 

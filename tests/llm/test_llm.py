@@ -150,6 +150,22 @@ def test_hamming_links_hold_groups_together(spark, cell):
     assert {frozenset(q for q in points if got[q] == got[p]) for p in points} == {frozenset(q for q in points if label[q] == label[p]) for p in points}
 
 
+def test_simhash_broadcasts_nothing_that_grows(spark, monkeypatch):
+    # files of cells are small and their rows are not, so no size that Spark reads off them may choose a broadcast
+    plans, saved = [], simhash.saved
+
+    def noted(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return saved(df, label)
+
+    monkeypatch.setattr(simhash, "saved", noted)
+    monkeypatch.setattr("tessera.llm.components.saved", noted)
+    rows = simhash.near_duplicates(documents(spark, [(k, " ".join(WORDS[k % 9 :])) for k in range(30)]))
+    plans.append(("result", rows._jdf.queryExecution().executedPlan().toString()))
+    assert {"cells", "links", "large", "named"} <= {label for label, _ in plans}
+    assert [label for label, plan in plans if "Broadcast" in plan] == []
+
+
 def test_warc_round_trip(spark):
     rows = [(3, "http://a/ b\r\nc", "same"), (1, None, "same"), (2, "http://b", None), (5, "x", ""), (4, "é", "é<p>" * 50_000), (1, None, "same")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
