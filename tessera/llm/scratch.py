@@ -12,6 +12,8 @@ from pyspark.sql.types import StructType
 
 #: Rows and bytes of an Arrow batch; texts are long, and a batch is held whole by the JVM and by Python.
 ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
+#: Bits of marked(), 2 MB for each executor whatever the ids.
+MARKS = 1 << 24
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,6 +51,22 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def marked(df: DataFrame, key: Column, ids: DataFrame, id_: str, name: str) -> DataFrame:
+    """df with a boolean column of this name: true where key may be one of ids, and surely where it is. What is false needs no join with ids, so
+    long texts aren't dealt out for the sake of a few. With more ids than bits it is true more often, and costs what the join costs."""
+
+    def bit(of: Column) -> Column:
+        return F.pmod(F.xxhash64(of), F.lit(MARKS)) + 1
+
+    at, bits = unused_name(df, "bucket"), unused_name(df, "bits")
+    held = ids.groupBy(F.bitmap_bucket_number(bit(F.col(id_))).alias(at)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit(F.col(id_)))).alias(bits))
+    place = F.bitmap_bit_position(bit(key))
+    byte = F.conv(F.hex(F.substring(F.col(bits), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    own = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+    rows = df.withColumn(at, F.bitmap_bucket_number(bit(key))).join(F.broadcast(held), at, "left")
+    return rows.withColumn(name, own).drop(at, bits)
+
+
 def tuned(spark: SparkSession) -> SparkSession:
     """Bounds the rows and bytes of an Arrow batch for this session, unless the session already has a smaller bound. A text longer than the
     bound is a batch of its own."""

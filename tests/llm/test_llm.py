@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tessera.llm import ann, chat, decontaminate, langid, mixing, near_copies, passages, queries, simhash, tokens, urls, warc
 from tessera.llm.components import connected_components
-from tessera.llm.scratch import new_path
+from tessera.llm.scratch import marked, new_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, copy string, rank int"
 WORDS = [f"w{k}x{k * k % 97}" for k in range(400)]
@@ -477,6 +477,35 @@ def test_near_copies_of_long_texts(spark):
     assert got == want
 
 
+def test_near_copies_meet_by_simhash_of_whole_texts(spark, monkeypatch):
+    # without shares and prefixes only fingerprints are left, as in the SimHash operator; the exact check keeps unlike texts apart
+    monkeypatch.setattr(near_copies, "text_keys", lambda h, common, similarity: np.zeros(0, np.int64))
+    base = [f"z{k}" for k in range(3000)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base, "end"])), (3, " ".join(reversed(base))), (4, " ".join(base[:1400]))]
+    prints = [near_copies.simhash(iter([h])) for _, h in near_copies.shingle_sets(near_copies.pa.array([t for _, t in rows]), 5)]
+    assert (prints[0] ^ prints[1]).bit_count() <= 2 < min((prints[0] ^ p).bit_count() for p in prints[2:])
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, documents(spark, rows), "").collect()} == {1, 3, 4}
+    points = [(1, 0), (2, 0), (3, 3), (4, 7), (5, -1)]
+    pairs, _ = near_copies.simhash_pairs(spark.createDataFrame(points, "node long, fingerprint long"))
+    assert dict(connected_components(pairs).collect()) == {2: 1, 3: 1, 4: 1}
+
+
+def test_one_of_each_among_repeated_ids(spark):
+    # 2 is a copy of 1 and has a text of its own, which is first of its group; 3 is there twice
+    alone, other = " ".join(WORDS[150:260]), " ".join(WORDS[280:390])
+    rows = [(1, LONG), (2, LONG), (2, alone), (3, other), (3, other), (4, alone), (None, other), (None, other), (5, "a b c")]
+    got = [(r.doc_id, r.text) for r in near_copies.one_of_each(documents(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(1, LONG), (2, LONG), (2, alone), (3, other), (None, other), (None, other), (5, "a b c")], key=str)
+
+
+def test_marked_misses_no_id(spark):
+    rows = spark.range(0, 4000, 1, 4).withColumn("text", F.lit("x"))
+    ids = spark.createDataFrame([(k * 7,) for k in range(500)] + [(-5,), (2**62,)], "own long")
+    got = {r.id: r.seen for r in marked(rows, F.col("id"), ids, "own", "seen").collect()}
+    assert len(got) == 4000 and all(got[k * 7] for k in range(500)) and sum(got.values()) < 520
+    assert not any(r.seen for r in marked(rows, F.col("id"), ids.limit(0), "own", "seen").collect())
+
+
 def test_ann(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(300, 24)).astype(np.float32)
