@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.arrow_text import chunks, gram_hashes, mix, row_hashes, sliding, word_hashes, words
 from tessera.llm.components import connected_components
-from tessera.llm.scratch import columns_of, drop_path, map_batches, release, saved, table, unused_name
+from tessera.llm.scratch import columns_of, drop_path, map_batches, marked, release, saved, table, unused_name
 
 #: Words of a paragraph and of a shingle; shingles of a band; words of a key. 24 = 13 + 12 - 1 equal words share a key.
 LEAST, GRAM, BAND, UNIT = 50, 5, 13, 12
@@ -369,6 +369,8 @@ def gapped_pairs(around: DataFrame) -> tuple[DataFrame, list[str]]:
     release(spark)
     first = rows.groupBy("key").agg(F.min(F.struct("doc_id", "place")).alias("kept"), F.max("doc_id").alias("last")).where("kept.doc_id < last").drop("last")
     first, first_path = saved(first, "gapped-first")
+    # few keys are shared, so rows of the others aren't dealt out
+    rows = marked(rows, F.col("key"), first, "key", "shared").where("shared").drop("shared")
     pairs = rows.join(first, "key").where("doc_id > kept.doc_id").select("doc_id", "place", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.place").alias("kept_place"))
     return pairs.distinct(), [rows_path, first_path]
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -106,6 +107,8 @@ def map_batches(df: DataFrame, run, extra: tuple[str, ...] = ()) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of plans that are no longer held, which else stay until the
-    driver happens to collect garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    driver happens to collect garbage. Twice, as what the first round frees may hold more, and the cleaner has its own thread."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)

@@ -345,6 +345,30 @@ def test_passages_similar_inside_large_runs(spark, twice):
         assert a <= r.word_start and r.word_end <= b and r.kept_doc_id % 1000 == r.doc_id % 1000 and r.kept_doc_id < r.doc_id
 
 
+def test_gapped_keys_of_one_text_are_not_dealt_out(spark, monkeypatch):
+    kept, marked_ = [], passages.marked
+    monkeypatch.setattr(passages, "marked", lambda rows, *a: kept.append((rows, marked_(rows, *a))) or kept[0][1])
+    saved = passages.saved
+    monkeypatch.setattr(passages, "drop_path", lambda *a: None)
+    rows = []
+    for n in range(12):  # texts with a common run, of which only 0 and 1 are similar around it
+        side = [f"g{max(n, 1)}a{k}" for k in range(80)]
+        words = [*side[:35], *WORDS[:25], *side[35:]]
+        if n == 1:
+            words[60:60] = ["put"]
+        rows.append((n, np.array([hash(w) & 0x7FFFFFFF | 1 for w in words], np.uint32)[: passages.LEFT + passages.RIGHT].tobytes()))
+    around = spark.createDataFrame([(n, 40, w.ljust(4 * (passages.LEFT + passages.RIGHT), b"\0")) for n, w in rows], "doc_id long, place int, around binary")
+    pairs, _ = passages.gapped_pairs(saved(around, "around")[0])
+    pairs = {(r.doc_id, r.kept_doc_id) for r in pairs.collect()}
+    every, some = (d.select("doc_id", "key").collect() for d in (kept[0][0], kept[0][1].where("shared")))
+    owners = {}
+    for r in every:
+        owners.setdefault(r.key, set()).add(r.doc_id)
+    shared = {k for k, v in owners.items() if len(v) > 1}
+    assert shared and len(some) < len(every) and {r.key for r in some} >= shared and len(some) <= sum(r.key in shared for r in every) + 0.01 * len(every)
+    assert pairs == {(n, min(owners[k])) for k in shared for n in owners[k] if n > min(owners[k])}
+
+
 def test_different_texts_of_one_doc_id(spark):
     other = " ".join(WORDS[150:230])
     docs = documents(spark, [(1, LONG), (2, LONG), (2, other), (3, other)])
