@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.arrow_text import chunks, gram_hashes, mix, row_hashes, sliding, word_hashes, words
@@ -34,6 +34,9 @@ BLOCK = 1 << 20
 ALL = 8
 #: Words that similar paragraphs have in common in two runs; the lengths of the one that holds a key (the other has GRAM words or more).
 SHARED, HALF, LONGEST = 49, 25, 44
+#: Lengths of that run that one key stands for, step by step: all of them, fewer, and one.
+LENGTHS = LONGEST - HALF + 1
+WIDTHS = (LENGTHS, 5, 1)
 LEFT, RIGHT = LEAST - UNIT + 1, LEAST + 1
 
 
@@ -60,12 +63,17 @@ def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
-def text_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of rows of text: each one's hash, words, and words' hashes; and (row, key) of its distinct keys."""
+def text_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of rows of text: each one's hash, words, words' hashes and the row of each word."""
     starts, ends, row = words(data, offsets)
     h = word_hashes(data, starts, ends)
     whole, _, count = row_hashes(h, row, len(offsets) - 1)
-    w = np.maximum(h >> np.uint64(32), np.uint64(1)).astype(np.uint32)
+    return whole, count, np.maximum(h >> np.uint64(32), np.uint64(1)).astype(np.uint32), row
+
+
+def text_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of rows of text: each one's hash, words, and words' hashes; and (row, key) of its distinct keys."""
+    whole, count, w, row = text_words(data, offsets)
     at = places(w.astype(np.uint64), row)
     keys, owner = gram_hashes(w.astype(np.uint64), UNIT)[at], row[at]
     order = np.lexsort((keys, owner))
@@ -75,20 +83,40 @@ def text_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return whole, count, w, owner[new], keys[new]
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def banded(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_words, words (4 bytes each), keys of the rows of LEAST words or more."""
+    """doc_id, text_hash, n_words, keys of the rows of LEAST words or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, offsets in chunks(b.column(1)):
-                whole, count, w, owner, keys = text_keys(data, offsets)
+                whole, count, _, owner, keys = text_keys(data, offsets)
                 long = count >= LEAST
                 if not long.any():
                     continue
                 held = np.bincount(owner, minlength=hi - lo)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).filter(pa.array(long)), pa.array(whole.view(np.int64)[long]), pa.array(count[long], pa.int32()), _binary(w[np.repeat(long, count)], count[long]), _lists(keys.view(np.int64)[long[owner]], held[long], pa.int64())], ["doc_id", "text_hash", "n_words", "words", "keys"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).filter(pa.array(long)), pa.array(whole.view(np.int64)[long]), pa.array(count[long], pa.int32()), _lists(keys.view(np.int64)[long[owner]], held[long], pa.int64())], ["doc_id", "text_hash", "n_words", "keys"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, text_hash long, n_words int, keys array<long>")
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, text_hash long, n_words int, words binary, keys array<long>")
+
+def worded(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, text_hash, words (4 bytes each) of the rows of LEAST words or more whose doc_id is one of ids (doc_id), and of a few others; the texts are
+    read again, as their words take as much disk as they do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, data, offsets in chunks(b.column(1)):
+                whole, count, w = text_words(data, offsets)[:3]
+                long = count >= LEAST
+                if long.any():
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).filter(pa.array(long)), pa.array(whole.view(np.int64)[long]), _binary(w[np.repeat(long, count)], count[long])], ["doc_id", "text_hash", "words"])
+
+    asked = marked(_texts(docs), F.col("doc_id"), ids, "doc_id", "asked").where("asked").drop("asked")
+    return asked.mapInArrow(run, "doc_id long, text_hash long, words binary")
 
 
 def _pooled(b: pa.RecordBatch, column: str, most: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -287,38 +315,16 @@ def _powers(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return power, sums, holes
 
 
-def beyond(around: DataFrame) -> DataFrame:
-    """around: doc_id, place, around, depths (where others go on with another word). doc_id, place, depth, gap, key: hashes of the words from a place to such a depth and
-    of the GRAM words beyond it, after gap words. Texts of a key of gapped_keys() have this one in common too."""
+def _way(depth: Column, gap: int) -> Column:
+    """A depth of forks(), words between two runs, and the least length of the one that holds the key, in a number; see gapped_keys()."""
+    return (64 * (2 * depth.cast("int") + gap) + HALF).cast("short")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not len(b):
-                continue
-            w = np.frombuffer(b"".join(b.column("around").to_pylist()), np.uint32).reshape(len(b), -1).astype(np.uint64)
-            power, sums, holes = _powers(w)
-            depths = b.column("depths")
-            row = np.repeat(np.arange(len(b)), np.asarray(depths.value_lengths()))
-            depth = np.asarray(depths.flatten()).astype(np.int64)
-            right = depth > 0
-            a, end = np.where(right, LEFT, depth + 1 + LEFT), np.where(right, depth, UNIT) + LEFT
-            one = mix((sums[row, end] - sums[row, a]) * power[w.shape[1] - a] + right.astype(np.uint64)) + depth.astype(np.uint64)
-            for gap in (0, 1):
-                c = np.where(right, end + gap, a - gap - GRAM)
-                fits = np.flatnonzero((c >= 0) & (c + GRAM <= w.shape[1]))
-                r, f = row[fits], c[fits]
-                known = holes[r, f + GRAM] == holes[r, f]
-                r, f, fits = r[known], f[known], fits[known]
-                key = mix(mix(one[fits]) * np.uint64(0x9E3779B97F4A7C15) + (sums[r, f + GRAM] - sums[r, f]) * power[w.shape[1] - f])
-                own = pa.array(r)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(own), b.column("place").take(own), pa.array(depth[fits].astype(np.int8)), pa.array(np.full(len(fits), gap, np.int8)), pa.array(key.view(np.int64))], ["doc_id", "place", "depth", "gap", "key"])
-
-    return around.select("doc_id", "place", "around", "depths").mapInArrow(run, "doc_id long, place int, depth byte, gap byte, key long")
 
-
-def gapped_keys(around: DataFrame) -> DataFrame:
-    """around: doc_id, place, around, ways (2 x depth + gap, of keys of beyond() that others have). doc_id, place, key: hashes of two runs of words, SHARED together, with the place's
-    key at the same word of one and the other beyond such a depth, after one word of this text or none. Similar paragraphs have such a key in common (see similar_passages())."""
+def gapped_keys(around: DataFrame, wider: int, width: int) -> DataFrame:
+    """around: doc_id, place, around, ways (of _way()). doc_id, place, way, key: hashes of two runs of words, one that holds the place's
+    key up to a depth where others go on with another word, and one beyond it, after one word of this text or none. Of the `wider` lengths from a way's least on that the first run may have,
+    each `width` are a way again, and its key the words that all of these have in common; with a width of 1 the two runs are SHARED words together, and similar
+    paragraphs have such a key in common (see similar_passages()). Texts of a key have those of all larger widths in common too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -329,47 +335,56 @@ def gapped_keys(around: DataFrame) -> DataFrame:
             ways = b.column("ways")
             row = np.repeat(np.arange(len(b)), np.asarray(ways.value_lengths()))
             way = np.asarray(ways.flatten()).astype(np.int64)
-            depth, gap = way // 2, way % 2
+            side, low = way // 64, way % 64
+            depth, gap = side // 2, side % 2
             right = depth > 0
             at = np.where(right, depth, depth + 1) + LEFT
-            owners, keys = [], []
-            for long in range(HALF, LONGEST + 1):
-                short = SHARED - long
+            # words from the place's key to the depth
+            least = np.where(right, depth, UNIT - depth - 1)
+            owners, found, keys = [], [], []
+            for more in range(0, wider, width):
+                first, last = low + more, low + more + width - 1
+                long, short = np.maximum(first, least), SHARED - last
                 a = np.where(right, at - long, at)
                 c = np.where(right, at + gap, at - gap - short)
-                fits = (a <= LEFT) & (a + long >= LEFT + UNIT) & (a >= 0) & (c >= 0) & (c + short <= w.shape[1])
-                r, a, c, side = row[fits], a[fits], c[fits], right[fits]
+                fits = (long <= last) & (a >= 0) & (a + long <= w.shape[1]) & (c >= 0) & (c + short <= w.shape[1])
+                r, a, c, long, short, first = row[fits], a[fits], c[fits], long[fits], short[fits], first[fits]
                 whole = (holes[r, a + long] == holes[r, a]) & (holes[r, c + short] == holes[r, c])
-                r, a, c, side = r[whole], a[whole], c[whole], side[whole]
+                r, a, c, long, short, first, side_ = r[whole], a[whole], c[whole], long[whole], short[whole], first[whole], side[fits][whole]
                 one = (sums[r, a + long] - sums[r, a]) * power[w.shape[1] - a]
                 two = (sums[r, c + short] - sums[r, c]) * power[w.shape[1] - c]
-                keys.append(mix(mix(one) * np.uint64(0x9E3779B97F4A7C15) + mix(two + np.uint64(long)) + np.uint64(2) * (LEFT - a).astype(np.uint64) + side.astype(np.uint64)))
+                keys.append(mix(mix(one) * np.uint64(0x9E3779B97F4A7C15) + mix(two + first.astype(np.uint64)) + (side_ // 2).astype(np.uint64)))
                 owners.append(r)
-            own, key = np.concatenate(owners), np.concatenate(keys)
+                found.append((64 * side_ + first).astype(np.int16))
+            own, found, key = np.concatenate(owners), np.concatenate(found), np.concatenate(keys)
             for lo in range(0, len(own), BLOCK):
                 part = pa.array(own[lo : lo + BLOCK])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(part), b.column("place").take(part), pa.array(key[lo : lo + BLOCK].view(np.int64))], ["doc_id", "place", "key"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(part), b.column("place").take(part), pa.array(found[lo : lo + BLOCK]), pa.array(key[lo : lo + BLOCK].view(np.int64))], ["doc_id", "place", "way", "key"])
 
-    return around.select("doc_id", "place", "around", "ways").mapInArrow(run, "doc_id long, place int, key long")
+    return around.select("doc_id", "place", "around", "ways").mapInArrow(run, "doc_id long, place int, way short, key long")
 
 
 def gapped_pairs(around: DataFrame) -> tuple[DataFrame, list[str]]:
     """doc_id, place, kept_doc_id, kept_place: each place of around (doc_id, place, around) with the first of those that have a key of gapped_keys() in common with it, by
-    doc_id; and paths to drop. Rows grow with the places, whatever the number that share a key."""
+    doc_id; and paths to drop. Rows grow with the places, whatever the number that share a key. Keys of many lengths of the runs tell first which lengths no other text can
+    have in common, so that few keys of one length are made that it has not."""
     spark = around.sparkSession
     steps, steps_path = saved(forks(around), "forks")
     nodes, nodes_path = saved(steps.groupBy("node").agg(F.min("word").alias("low"), F.max("word").alias("high")).where("low < high").select("node"), "nodes")
-    depths = steps.join(nodes, "node", "left_semi").groupBy("doc_id", "place").agg(F.collect_set("depth").alias("depths"))
-    near, near_path = saved(beyond(around.join(depths, ["doc_id", "place"])), "beyond")
-    known, known_path = saved(near.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key"), "known")
-    ways = near.join(known, "key", "left_semi").groupBy("doc_id", "place").agg(F.collect_set((2 * F.col("depth") + F.col("gap")).cast("short")).alias("ways"))
-    rows, rows_path = saved(gapped_keys(around.join(ways, ["doc_id", "place"])), "gapped")
-    for path in (steps_path, nodes_path, near_path, known_path):
-        drop_path(spark, path)
-    release(spark)
+    ways = steps.join(nodes, "node", "left_semi").groupBy("doc_id", "place").agg(F.flatten(F.collect_set(F.array(_way(F.col("depth"), 0), _way(F.col("depth"), 1)))).alias("ways"))
+    used = [steps_path, nodes_path]
+    for wider, width in zip((LENGTHS, *WIDTHS[:-1]), WIDTHS, strict=True):
+        rows, rows_path = saved(gapped_keys(around.join(ways, ["doc_id", "place"]), wider, width), "gapped")
+        for path in used:
+            drop_path(spark, path)
+        release(spark)
+        if width > 1:
+            known, known_path = saved(rows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key"), "known")
+            ways = rows.join(known, "key", "left_semi").groupBy("doc_id", "place").agg(F.collect_set("way").alias("ways"))
+            used = [rows_path, known_path]
     first = rows.groupBy("key").agg(F.min(F.struct("doc_id", "place")).alias("kept"), F.max("doc_id").alias("last")).where("kept.doc_id < last").drop("last")
     first, first_path = saved(first, "gapped-first")
-    # few keys are shared, so rows of the others aren't dealt out
+    # rows of keys that no other has aren't dealt out
     rows = marked(rows, F.col("key"), first, "key", "shared").where("shared").drop("shared")
     pairs = rows.join(first, "key").where("doc_id > kept.doc_id").select("doc_id", "place", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.place").alias("kept_place"))
     return pairs.distinct(), [rows_path, first_path]
@@ -427,7 +442,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
     A text that equals an earlier document's is one passage, whole, of a class of its own; only the first of equal texts is
     searched. Repeats within a document aren't passages. Rows that repeat a doc_id and its text are one document; of different texts of
     a doc_id, the one of the least text_hash is searched, and text_hash tells which row a passage belongs to. Rows without doc_id, and
-    null, empty or short texts, take no part. Other columns are not read; no rows: no rows.
+    null, empty or short texts, take no part. docs is read twice, other columns are not; no rows: no rows.
     """
     if least < LEAST:
         raise ValueError(f"least must be {LEAST} or more")
@@ -445,9 +460,10 @@ def repeated_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
     asked = rows.join(shared, "key").groupBy("doc_id", "text_hash").agg(F.collect_set("key").alias("keys"))
     asked, asked_path = saved(asked.join(chosen, ["doc_id", "text_hash"], "left_semi"), "asked")
     release(spark)
-    open_, open_path = saved(opened(texts.drop("keys").join(asked, ["doc_id", "text_hash"]), least), "open")
-    for path in (texts_path, reps_path, shared_path, asked_path):
+    for path in (texts_path, reps_path, shared_path):
         drop_path(spark, path)
+    open_, open_path = saved(opened(worded(docs.where("doc_id is not null"), asked).join(asked, ["doc_id", "text_hash"]), least), "open")
+    drop_path(spark, asked_path)
     release(spark)
     islands, used = exact_islands(open_, least)
     release(spark)
@@ -491,9 +507,11 @@ def without_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs without these passages, n_chars counted anew where the column is there; a document of which no word is left goes. Documents without
     passages stay as they are, null and empty texts too, and so do rows without doc_id; of rows that repeat a doc_id, only those of
     a passage's text_hash are cut. Columns of docs: doc_id, text and any more, which are kept."""
-    cuts, owner = unused_name(docs, "cuts"), unused_name(docs, "owner")
-    asked = spans.groupBy(F.col("doc_id").alias(owner)).agg(F.collect_set(F.struct("text_hash", "word_start", "word_end")).alias(cuts))
-    rows = docs.join(asked, F.col("doc_id") == F.col(owner), "left")
+    cuts, owner, met = (unused_name(docs, x) for x in ("cuts", "owner", "met"))
+    asked = spans.groupBy(F.col("doc_id").cast("long").alias(owner)).agg(F.collect_set(F.struct("text_hash", "word_start", "word_end")).alias(cuts))
+    # documents without passages stay, so their texts need no join
+    every = marked(docs, F.col("doc_id").cast("long"), asked, owner, met)
+    rows = every.where(F.col(met)).join(asked, F.col("doc_id") == F.col(owner), "left")
     names = docs.columns
     at, count = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
@@ -523,7 +541,7 @@ def without_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 columns[count] = pa.array(sizes, b.schema.field(count).type)
             yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1]).filter(pa.array(keep))
 
-    return map_batches(rows.select(*columns_of(docs), cuts), run, (cuts,))
+    return map_batches(rows.select(*columns_of(docs), cuts), run, (cuts,)).union(every.where(~F.col(met)).select(*columns_of(docs)))
 
 
 def op3_passages(spark, sf_dir: str) -> DataFrame:

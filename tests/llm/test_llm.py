@@ -3,6 +3,8 @@
 import hashlib
 import json
 import unicodedata
+import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -369,6 +371,61 @@ def test_gapped_keys_of_one_text_are_not_dealt_out(spark, monkeypatch):
     assert pairs == {(n, min(owners[k])) for k in shared for n in owners[k] if n > min(owners[k])}
 
 
+def test_keys_of_several_lengths_leave_out_no_pair(spark, monkeypatch):
+    """Texts that are similar around a common run, and others that have too few words beyond it in common: pairs are those of all keys, but
+    the keys of one length are made only for texts that are similar."""
+    rng, rows, made, saved = np.random.default_rng(5), [], [], passages.saved
+    for n in range(100):
+        if n < 60:
+            left, right = [f"g{n // 3}a{k}" for k in range(45)], WORDS[:25] + [f"g{n // 3}b{k}" for k in range(60)]
+            if n % 3:
+                side, at = (left, int(rng.integers(6, 45))) if n % 2 else (right, int(rng.integers(12, 50)))
+                side[at : at + int(rng.integers(0, 2))] = [f"e{n}"] * int(rng.integers(0, 2))
+        else:  # 25 words, one of its own and 12 of all
+            left, right = [f"o{n}x{k}" for k in range(45)], [*WORDS[40:65], f"o{n}", *WORDS[70:82], *(f"o{n}y{k}" for k in range(60))]
+        near = left[-passages.LEFT :] + right[: passages.RIGHT]
+        rows.append((n, 39, np.array([zlib.crc32(w.encode()) | 1 for w in near], np.uint32).tobytes()))
+    around = saved(spark.createDataFrame(rows, "doc_id long, place int, around binary"), "around")[0]
+    monkeypatch.setattr(passages, "saved", lambda df, label: made.append((label, saved(df, label))) or made[-1][1])
+    monkeypatch.setattr(passages, "drop_path", lambda *a: None)
+
+    def pairs():
+        made.clear()
+        found = sorted(map(tuple, passages.gapped_pairs(around)[0].collect()))
+        return found, [[r.doc_id for r in df.select("doc_id").collect()] for label, (df, _) in made if label == "gapped"]
+
+    some, tables = pairs()
+    assert {n for n in tables[0]} & set(range(60, 100)) and not {n for n in tables[-1]} & set(range(60, 100))
+    monkeypatch.setattr(passages, "WIDTHS", (1,))
+    every, (all_keys,) = pairs()
+    assert len(every) > 20 and some == every and set(all_keys) & set(range(60, 100)) and len(tables[-1]) < len(all_keys)
+
+
+def test_words_of_texts_without_shared_keys_are_not_kept(spark, monkeypatch):
+    sizes, saved = {}, passages.saved
+
+    def measured(df, label):
+        out = saved(df, label)
+        sizes[label] = sum(f.stat().st_size for f in Path(out[1].removeprefix("file://")).glob("*.parquet"))
+        return out
+
+    monkeypatch.setattr(passages, "saved", measured)
+    rows = [(n, " ".join(f"o{n}w{k}" for k in range(2000))) for n in range(100)] + [(200, LONG + " a b"), (201, "c d " + LONG)]
+    spans = passages.repeated_passages(documents(spark, rows)).collect()
+    assert [(r.doc_id, r.word_start, r.word_end, r.kept_doc_id) for r in spans] == [(201, 2, 122, 200)]
+    # a word's hash has 4 bytes; keys have 8 for some 7 words
+    assert sizes["texts"] < 2 * 100 * 2000 and sizes["open"] < 20_000
+
+
+def test_documents_without_passages_are_not_dealt_out(spark, monkeypatch):
+    joined, map_batches = [], passages.map_batches
+    monkeypatch.setattr(passages, "map_batches", lambda df, *a: joined.append(df) or map_batches(df, *a))
+    rows = [(n, " ".join(f"o{n}w{k}" for k in range(60))) for n in range(300)] + [(400, LONG + " a b"), (401, "c d " + LONG), (402, None)]
+    docs = documents(spark, rows).withColumn("doc_id", F.col("doc_id").cast("int"))
+    left = {r.doc_id: r.text for r in passages.without_passages(docs, passages.repeated_passages(docs)).collect()}
+    assert left == dict(rows) | {401: "c d "} and joined[0].count() < 10
+
+
 def test_different_texts_of_one_doc_id(spark):
     other = " ".join(WORDS[150:230])
     docs = documents(spark, [(1, LONG), (2, LONG), (2, other), (3, other)])
