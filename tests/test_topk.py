@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import bm25, topk
+from tessera.operators import bm25, tfidf, topk
 
 
 def dealt_out(spark, df) -> int:
@@ -109,3 +109,33 @@ def test_a_block_picks_as_a_plain_sort():
         scored = [(-sum(d[t] * w for t, w in ts.items() if t in d), k) for k, d in rows if set(d) & set(ts)]
         want += [(q, -s, k) for s, k in sorted(scored)[:need]]
     assert got == want
+
+
+def test_cosines_deal_out_only_the_best(spark, many, asked):
+    items = asked.groupBy(F.col("query_id").alias("item_id")).agg(F.array_join(F.sort_array(F.collect_list("term")), " ").alias("text"))
+    fit = tfidf.fitted(many)
+    rows = tfidf.search_fit(fit, items, 3)
+    assert rows.count() == 2100
+    # 700 queries meet about 2,000 documents each
+    assert dealt_out(spark, tfidf.search_fit(fit, items, 3)) < 700 * 3 * 20
+
+
+@pytest.mark.parametrize("at_once", [1, 9, 1 << 21])
+def test_grams_are_counted_as_by_hand(spark, monkeypatch, at_once):
+    from collections import Counter
+
+    texts = ["red red hat", "Red hat red", "a b c", None, "", "hat", "one two one two one", "red"]
+    monkeypatch.setattr(tfidf, "MOST_WORDS", at_once)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    df, total = Counter(), Counter()
+    for t in texts:
+        w = [x for x in (t or "").lower().split() if len(x) > 1]
+        g = w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+        df.update(set(g))
+        total.update(g)
+    words = tfidf.worded(docs, "doc_id")
+    assert {(r.term, r.df, r.total) for r in tfidf.frequencies(words).collect()} == {(t, df[t], total[t]) for t in df}
+    kept = tfidf.most_frequent(tfidf.frequencies(words), len(texts))
+    lists = {r.doc_id: dict(zip(r.terms, r.w, strict=True)) for r in tfidf.bags(words, kept, "doc_id").collect()}
+    assert set(lists) == set(range(8)) and set(lists[0]) == {"red", "hat", "red hat"} and set(lists[1]) == {"red", "hat", "red hat"}
+    assert all(sum(w * w for w in v.values()) == pytest.approx(1) for v in lists.values() if v) and not lists[6] and lists[5] == {"hat": 1.0}
