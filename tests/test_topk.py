@@ -139,3 +139,13 @@ def test_grams_are_counted_as_by_hand(spark, monkeypatch, at_once):
     lists = {r.doc_id: dict(zip(r.terms, r.w, strict=True)) for r in tfidf.bags(words, kept, "doc_id").collect()}
     assert set(lists) == set(range(8)) and set(lists[0]) == {"red", "hat", "red hat"} and set(lists[1]) == {"red", "hat", "red hat"}
     assert all(sum(w * w for w in v.values()) == pytest.approx(1) for v in lists.values() if v) and not lists[6] and lists[5] == {"hat": 1.0}
+
+
+def test_confidence_is_of_the_same_search(spark, sf_dir):
+    from tessera.plans import registry
+
+    found = registry.QUERIES["confidence_features"](spark, sf_dir)
+    top = {r.item_id: r.score for r in registry.QUERIES["tfidf_cosine"](spark, sf_dir).where("rank = 1").collect()}
+    assert {r.item_id: r.top1 for r in found.collect()} == top
+    # 40 items of ten documents; before, each met most of the documents in a shuffle
+    assert dealt_out(spark, registry.QUERIES["confidence_features"](spark, sf_dir)) < 40 * 10 * 10
