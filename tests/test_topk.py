@@ -149,3 +149,17 @@ def test_confidence_is_of_the_same_search(spark, sf_dir):
     assert {r.item_id: r.top1 for r in found.collect()} == top
     # 40 items of ten documents; before, each met most of the documents in a shuffle
     assert dealt_out(spark, registry.QUERIES["confidence_features"](spark, sf_dir)) < 40 * 10 * 10
+
+
+def test_saved_index_deals_a_common_term_to_several_tasks(spark, many, asked, tmp_path):
+    docs = many.select("doc_id", F.concat(F.lit("common "), "text").alias("text"))
+    path = f"file://{tmp_path}/index"
+    bm25.save_index(docs, path, {"text": 1.0})
+    index = bm25.load_index(spark, path, {"text": 1.0})
+    parts = index["postings"].groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n"), F.sum((F.col("term") == "common").cast("int")).alias("common")).collect()
+    # 3,000 documents have the term, beside about 31,000 other postings in 8 parts
+    assert sum(r.common for r in parts) == 3000 and max(r.n for r in parts) < 7000
+    queries = asked.union(spark.createDataFrame([(0, "common")], asked.schema))
+    key = lambda r: (r.query_id, r.rank)
+    assert sorted(bm25.search_index(index, queries, 3).collect(), key=key) == sorted(bm25.search(docs, queries, {"text": 1.0}, 3).collect(), key=key)
+    assert dealt_out(spark, bm25.search_index(index, queries, 3)) < 700 * 3 * 20
